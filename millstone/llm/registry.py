@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from millstone.llm import ngram_jaccard, suffix_dedup
+from millstone.llm import language_id, lexical_packing, ngram_jaccard, secret_scan, suffix_dedup
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
+    "op7_lexical_packing": lexical_packing.op7_lexical_packing,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 ORACLE_SQL = {
