@@ -15,8 +15,11 @@ shingles, hence enough segments must agree (pigeonhole).
 * **Large sets** enter a hash sample of about ``SKETCH`` shingles, the same for both sides, and d gets
   three standard deviations on top; up to that size the search is complete, above it a pair exactly at
   the threshold is missed with a chance of about 0.1 %.
-* **Verification** is on the whole sets. Documents that share a key meet at the key's smallest member,
-  so sets travel once for each such meeting point instead of once for each pair.
+* **Sketch filter.** Sets that share a key meet at the key's smallest member with their parity sketches
+  of ``SKETCH_BITS`` bits (of a hash sample of about ``SKETCH_SHINGLES`` shingles, above that size). A
+  pair whose sketches differ in more bits than d allows leaves.
+* **Verification** is on the whole sets of the pairs that are left. They meet at the smallest neighbour
+  of either set, so a set travels about once for each group of copies instead of once for each pair.
 
 Equal sets are one set throughout. Result: (doc_a, doc_b, jaccard), doc_a < doc_b; one row for each
 pair of distinct sets, named by their smallest doc_id, and one row with 1.0 from that smallest doc_id
@@ -44,6 +47,8 @@ NGRAM = 3
 THRESHOLD = 0.6
 SEGMENTS = 64
 SKETCH = 64
+SKETCH_BITS = 1024
+SKETCH_SHINGLES = 512
 
 
 def band_edges(t: float, largest: int = 1 << 31) -> np.ndarray:
@@ -92,19 +97,28 @@ class Shingles:
         return out
 
 
-def sketch_keys(s: Shingles, t: float, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every segment by which a set is entered."""
+def _allowed(n: np.ndarray, other: np.ndarray, t: float, rate: np.ndarray) -> np.ndarray:
+    """Largest sampled difference of similar sets of these sizes."""
+    most = (1 - t) / (1 + t) * (n + other) * rate
+    return np.floor(most + 3 * np.sqrt(most * (1 - rate)) + 1e-9).astype(np.int64)
+
+
+def _in_sample(grams: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    draw = tc.mix(grams + np.uint64(0x632BE59BD9B4E019))
+    return np.flatnonzero((rate >= 1) | ((draw >> np.uint64(11)).astype(np.float64) < rate * 2.0**53))
+
+
+def sketch_keys(s: Shingles, t: float, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, whether that is the set's own band, key) of every segment by which a set is entered."""
     code = tc.mix(s.grams ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    sample = tc.mix(s.grams + np.uint64(0x632BE59BD9B4E019))
     own = np.searchsorted(edges, s.size)
-    out_row, out_key = [], []
+    found: list[tuple] = []
     for step in (0, 1):
         band = own + step
         top = edges[np.minimum(band, len(edges) - 1)]
         rate = np.minimum(1.0, SKETCH / top)
-        most = (1 - t) / (1 + t) * (s.size + np.minimum(s.size / t, top)) * rate
-        allowed = np.floor(most + 3 * np.sqrt(most * (1 - rate)) + 1e-9).astype(np.int64)
-        chosen = np.flatnonzero((rate[s.row] >= 1) | ((sample >> np.uint64(11)).astype(np.float64) < rate[s.row] * 2.0**53))
+        allowed = _allowed(s.size, np.minimum(s.size / t, top), t, rate)
+        chosen = _in_sample(s.grams, rate[s.row])
         if not len(chosen):
             continue
         c = code[chosen]
@@ -119,11 +133,20 @@ def sketch_keys(s: Shingles, t: float, edges: np.ndarray) -> tuple[np.ndarray, n
         row, key = row[order], key[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         keep = rank <= allowed[row]
-        out_row.append(row[keep])
-        out_key.append(key[keep])
-    if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_row), np.concatenate(out_key)
+        found.append((row[keep], band[row[keep]], np.full(int(keep.sum()), step == 0), key[keep]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(bool), none.astype(np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def bit_sketches(s: Shingles, edges: np.ndarray, step: int) -> np.ndarray:
+    """(rows, SKETCH_BITS / 8) parity of the shingles that fall on each bit, sampled for the own band + step."""
+    top = edges[np.minimum(np.searchsorted(edges, s.size) + step, len(edges) - 1)]
+    chosen = _in_sample(s.grams, np.minimum(1.0, SKETCH_SHINGLES / top)[s.row])
+    bit = (tc.mix(s.grams[chosen] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(s.row[chosen] * SKETCH_BITS + bit, minlength=len(s.size) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1)
 
 
 def _each_slice(batches: Iterator[pa.RecordBatch], n: int):
@@ -138,8 +161,94 @@ def _map_postings(n: int, t: float):
         edges = band_edges(t)
         for s, _ in _each_slice(batches, n):
             ids = tc.signed(s.set_ids())
-            row, key = sketch_keys(s, t, edges)
-            yield pa.RecordBatch.from_arrays([pa.array(tc.signed(key)), pa.array(ids[row])], names=["key", "set_id"])
+            row, band, own, key = sketch_keys(s, t, edges)
+            yield pa.RecordBatch.from_arrays([pa.array(tc.signed(key)), pa.array(ids[row]), pa.array(band.astype(np.int32)), pa.array(own)], names=["key", "set_id", "band", "own"])
+
+    return fn
+
+
+def _map_sketches(n: int, t: float):
+    def fn(batches):
+        edges = band_edges(t)
+        for s, _ in _each_slice(batches, n):
+            ids = tc.signed(s.set_ids())
+            own, after = bit_sketches(s, edges, 0), bit_sketches(s, edges, 1)
+            has = np.flatnonzero(s.size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[has]), pa.nulls(len(has), pa.int64()), pa.nulls(len(has), pa.int32()), pa.array(s.size[has].astype(np.int64)), pa.array([own[r].tobytes() for r in has], pa.binary()), pa.array([after[r].tobytes() for r in has], pa.binary())],
+                names=["set_id", "hub", "band", "n", "sketch", "sketch_after"],
+            )
+
+    return fn
+
+
+def _gather_sketches(t: float):
+    """Of the rows of each set: its sketch for each of its meetings."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = band_edges(t)
+        for part in whole_groups(batches, "set_id"):
+            ids = part.column("set_id").to_numpy()
+            hubs, bands, n = part.column("hub").to_pylist(), part.column("band").to_pylist(), part.column("n").to_pylist()
+            own, after = part.column("sketch"), part.column("sketch_after")
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])), len(ids)).tolist()
+            out: list[tuple] = []
+            for a, b in zip(cuts, cuts[1:]):
+                at = {(bands[i], hubs[i]) for i in range(a, b) if hubs[i] is not None}
+                if not at:
+                    continue
+                i = next(i for i in range(a, b) if n[i] is not None)
+                home, all_meets = int(np.searchsorted(edges, n[i])), {}
+                for band, hub in at:
+                    all_meets.setdefault(band, []).append(_meet(band, hub))
+                for band, meets in all_meets.items():
+                    body = (own if band == home else after)[i].as_py()
+                    out.extend((m, int(ids[a]), band, n[i], sorted(meets), body) for m in meets)
+            if out:
+                cols = zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["meet", "set_id", "band", "n", "meets", "sketch"])
+
+    return fn
+
+
+def _meet(band: int, hub: int) -> int:
+    x = tc.mix_int(hub + 0x9E3779B97F4A7C15 * (band + 1))
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _filter_sketches(t: float):
+    """Pairs of sets of each meeting whose sketches don't rule them out."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = band_edges(t)
+        for part in whole_groups(batches, "meet"):
+            meet, ids, band, n = (part.column(c).to_numpy() for c in ("meet", "set_id", "band", "n"))
+            meets, bits = part.column("meets").to_pylist(), np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+            home = np.searchsorted(edges, n)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1]])), len(ids))
+            xs, ys = [], []
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                if b - a < 2:
+                    continue
+                top = edges[min(int(band[a]), len(edges) - 1)]
+                rate = np.float64(min(1.0, SKETCH_SHINGLES / top))
+                block = max(1, (1 << 21) // (b - a) // 16)
+                for lo in range(a, b, block):
+                    hi = min(b, lo + block)
+                    small, large = np.minimum(n[lo:hi, None], n[None, a:b]), np.maximum(n[lo:hi, None], n[None, a:b])
+                    far = np.zeros((hi - lo, b - a), np.int32)
+                    for w in range(bits.shape[1]):
+                        far += np.bitwise_count(bits[lo:hi, w, None] ^ bits[None, a:b, w])
+                    good = (far <= _allowed(small, large, t, rate)) & (small >= t * large - 1e-9) & ((home[lo:hi, None] == band[a]) | (home[None, a:b] == band[a]))
+                    i, j = np.nonzero(good)
+                    i, j = i + lo, j + a
+                    xs.append(i[i < j])
+                    ys.append(j[i < j])
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                one = [len(meets[i]) == 1 or len(meets[j]) == 1 or min(set(meets[i]) & set(meets[j])) == meet[i] for i, j in zip(x.tolist(), y.tolist())]
+                x, y = x[one], y[one]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["x", "y"])
 
     return fn
 
@@ -247,10 +356,25 @@ def _verify(t: float):
 def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """(doc_a, doc_b, jaccard) of all documents whose shingle sets are at least ``threshold`` similar."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    postings = base.mapInArrow(_map_postings(n, threshold), "key long, set_id long")
+    postings = base.mapInArrow(_map_postings(n, threshold), "key long, set_id long, band int, own boolean")
+    over = "over (partition by key)"
+    met = (
+        postings.selectExpr("set_id", "band", f"min(set_id) {over} as hub", f"max(set_id) {over} as other", f"bool_or(own) {over} as owned")
+        .where("hub < other and owned")
+        .groupBy("set_id", "hub", "band")
+        .agg(F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.lit(None).cast("binary").alias("sketch_after"))
+    )
+    sketches = base.mapInArrow(_map_sketches(n, threshold), "set_id long, hub long, band int, n long, sketch binary, sketch_after binary")
+    invited = (
+        sketches.union(met).repartition("set_id").sortWithinPartitions("set_id").mapInArrow(_gather_sketches(threshold), "meet long, set_id long, band int, n long, meets array<long>, sketch binary")
+    )
+    pairs = invited.repartition("meet").sortWithinPartitions("meet").mapInArrow(_filter_sketches(threshold), "x long, y long")
+    ends = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    lowest = pairs.select(ends.alias("e")).selectExpr("e.a", "e.b", "least(e.a, min(e.b) over (partition by e.a)) as low")
     meeting = (
-        postings.selectExpr("key", "set_id", "min(set_id) over (partition by key) as hub", "max(set_id) over (partition by key) as other")
-        .where("hub < other")
+        lowest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        .agg(F.min("low").alias("hub"))
+        .select("hub", F.explode(F.array("x", "y")).alias("set_id"))
         .groupBy("hub", "set_id")
         .agg(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("grams"))
         .select("set_id", "doc_id", "hub", "grams")
