@@ -233,7 +233,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # group 0 is a word with the white space before it, so what stays keeps its own layout
     word = re.compile(r"[\t-\r ]*[^\t-\r ]+")
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        texts, spans = batch.column("text").to_pylist(), batch.column("__spans").to_pylist()
         out = []
         for text, cut in zip(texts, spans):
             if not cut or text is None:
@@ -245,7 +245,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (kept if s["first"] else gone)[s["start_word"] : s["end_word"]] = True
             out.append("".join(p for p, g in zip(pieces, gone & ~kept) if not g).lstrip("\t\n\v\f\r "))
         i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["spans"])
+        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["__spans"])
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -255,16 +255,16 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     is left goes; one that was empty or null from the start stays as it is.
     """
     names = docs.columns
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    spans = repeated_spans(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text"), depth)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    spans = repeated_spans(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), depth)
     cut = (
-        spans.groupBy("row")
-        .agg(F.collect_list(F.struct("start_word", "end_word", "first")).alias("spans"), F.bool_or(~F.col("first")).alias("copies"))
+        spans.groupBy(F.col("row").alias("__row"))
+        .agg(F.collect_list(F.struct("start_word", "end_word", "first")).alias("__spans"), F.bool_or(~F.col("first")).alias("copies"))
         .where("copies")
         .drop("copies")
     )
-    both = rows.join(cut, "row", "left")
-    schema = both.drop("spans").schema
+    both = rows.join(cut, "__row", "left")
+    schema = both.drop("__spans").schema
     out = both.mapInArrow(_cut, schema).where("text is null or text != '' or n_chars is null or n_chars = 0")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
