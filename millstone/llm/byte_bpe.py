@@ -3,7 +3,11 @@
 Each partition runs DuckDB inside its Python worker. The distinct pre-tokens of a slice of documents
 become rows (word, position, token); a recursive query joins neighbouring tokens with the merge table,
 contracts the leftmost pair of the lowest rank of every word, and ends when no word has a pair that
-merges. Decoding joins token ids with the vocabulary and aggregates the pieces in token order.
+merges. Words of over ``LONG`` bytes, such as encoded binary data, contract all places of their lowest
+rank in one step, from left to right (a merge never makes a pair of a lower rank than its own, so the
+tokens are the same), and a query ends after some steps and is asked again with what it came to, so that
+memory stays in proportion to the word. Decoding joins token ids with the vocabulary and aggregates the
+pieces in token order.
 
 The vocabulary is a file of base64 tokens and ranks whose path is a parameter; executors read it there.
 A pair merges if its joined bytes are a token, and its rank is that token's id.
@@ -26,6 +30,9 @@ from millstone.llm import textcore as tc
 
 SLICE_BYTES = 12 << 20
 WORD_BATCH = 50_000
+BATCH_BYTES = 1 << 20
+LONG = 128
+LONG_ROWS = 4 << 20
 TOKEN_BATCH = 1_000_000
 
 _ENCODE = """
@@ -53,6 +60,29 @@ with recursive step(word, pos, tok, nxt, best) as (
 select word, tok from step where best is null order by word, pos
 """
 
+_ENCODE_LONG = """
+with recursive step(word, pos, tok, rank, best, depth) as (
+    select word, pos, tok, rank, min(rank) over (partition by word), 0
+    from (select word, pos, tok, lead(tok) over (partition by word order by pos) as nxt from initial) left join merges on pair = (tok::bigint << 32 | nxt)
+  union all (
+    with placed as (
+        select word, pos, tok, best, depth, coalesce(rank = best, false) as hit,
+            pos - coalesce(max(case when rank = best then null else pos end) over (partition by word order by pos rows unbounded preceding), -1) as nth
+        from step where best is not null and depth < {steps}
+    ), chosen as (
+        select *, lag(hit and nth % 2 = 1, 1, false) over (partition by word order by pos) as gone from placed
+    ), contracted as (
+        select word, (row_number() over (partition by word order by pos) - 1)::int as pos, case when hit and nth % 2 = 1 then best else tok end as tok, depth + 1 as depth
+        from chosen where not gone
+    ), next as (
+        select *, lead(tok) over (partition by word order by pos) as nxt from contracted
+    )
+    select word, pos, tok, rank, min(rank) over (partition by word), depth from next left join merges on pair = (tok::bigint << 32 | nxt)
+  )
+)
+select word, tok, best is null as ended from step where best is null or depth = {steps} order by word, pos
+"""
+
 _DECODE = "select doc, string_agg(hex, '' order by pos) as hex from ids join vocabulary using (tok) group by doc order by doc"
 
 
@@ -90,10 +120,34 @@ class Codec:
         return out
 
     def encode_words(self, words: list[str]) -> pieces.Lists:
+        raw = [w.encode() for w in words]
+        n = np.array([len(b) for b in raw], np.int64)
+        large = np.flatnonzero(n > LONG).tolist()
+        if not large:
+            return self._encode_short(raw, n)
+        small = np.flatnonzero(n <= LONG).tolist()
+        both = [self._encode_short([raw[i] for i in small], n[small]), *(self._encode_long(raw[i]) for i in large)]
+        values = np.concatenate([v for v, _ in both])
+        off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in both]))])
+        return pieces.gather((values, off), np.argsort(np.array(small + large, np.int64), kind="stable"))
+
+    def _encode_long(self, raw: bytes) -> pieces.Lists:
+        tok = self.single[np.frombuffer(raw, np.uint8)]
+        while True:
+            steps = max(4, LONG_ROWS // len(tok))
+            at = np.arange(len(tok), dtype=np.int32)
+            found = self._ask("initial", {"word": np.zeros(len(tok), np.int32), "pos": at, "tok": tok}, _ENCODE_LONG.format(steps=steps))
+            tok = np.asarray(found["tok"], np.int32)
+            if found["ended"].all():
+                return tok, np.array([0, len(tok)])
+
+    def _encode_short(self, words: list[bytes], size: np.ndarray) -> pieces.Lists:
         values, sizes = [], []
-        for lo in range(0, len(words), WORD_BATCH):
-            raw = [w.encode() for w in words[lo : lo + WORD_BATCH]]
-            n = np.array([len(b) for b in raw])
+        end, lo = np.cumsum(size), 0
+        while lo < len(words):
+            hi = min(lo + WORD_BATCH, max(lo + 1, int(np.searchsorted(end, end[lo] + BATCH_BYTES))))
+            raw, n = words[lo:hi], size[lo:hi]
+            lo = hi
             tok = self.single[np.frombuffer(b"".join(raw), np.uint8)]
             nxt = np.append(tok[1:], -1).astype(np.int32)
             nxt[np.cumsum(n) - 1] = -1
