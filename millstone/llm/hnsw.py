@@ -36,6 +36,7 @@ LINKS = 16
 EF_BUILD = 64
 EF_SEARCH = 96
 EXPAND = 4
+BEAM = 32  # nodes that upper levels hand down, so that groups of copies far from each other stay within reach
 LOCKSTEP = 512
 
 
@@ -52,14 +53,14 @@ def _search(g: Graph, level: int, q: np.ndarray, start: np.ndarray, ef: int) ->
     links, n, rows = g.levels[level], len(g.vectors), len(q)
     seen = np.zeros((rows, n), bool)
     at = np.arange(rows)
-    start = start[:, None] if start.ndim == 1 else start
     ids = np.full((rows, ef), -1)
     sim = np.full((rows, ef), -np.inf, np.float32)
     m = min(start.shape[1], ef)
     ids[:, :m] = start[:, :m]
     valid = ids >= 0
     sim[:, :m] = np.where(valid[:, :m], np.einsum("qd,qkd->qk", q, g.vectors[np.maximum(ids[:, :m], 0)]), -np.inf)
-    seen[at[:, None], np.maximum(ids[:, :m], 0)] |= valid[:, :m]
+    r, c = np.nonzero(valid)
+    seen[r, ids[r, c]] = True
     done = ~valid
     live = at
     while len(live):
@@ -160,11 +161,11 @@ def build(ids: np.ndarray, vectors: np.ndarray, m: int = LINKS) -> Graph:
     while done < n:
         new = np.arange(done, min(n, done + max(1, min(done, LOCKSTEP))))
         q = vectors[new]
-        start = np.zeros(len(new), np.int64)
+        start = np.zeros((len(new), 1), np.int64)
         within = q @ q.T
         for lv in range(len(g.levels) - 1, -1, -1):
             here = level[new] >= lv
-            ef = EF_BUILD if here.any() else 1
+            ef = EF_BUILD if here.any() else BEAM
             found, sim = _search(g, lv, q, start, ef)
             at = np.flatnonzero(here)
             if len(at):
@@ -176,7 +177,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, m: int = LINKS) -> Graph:
                 c_ids = np.concatenate([found[at], np.where(np.take_along_axis(mates, top, 1) > -np.inf, new[at][top], -1)], 1)
                 best = np.argsort(-c_sim, axis=1, kind="stable")[:, :EF_BUILD]
                 _link(g, lv, new[at], _diverse(g, np.take_along_axis(c_ids, best, 1), np.take_along_axis(c_sim, best, 1), m))
-            start = np.where(found[:, 0] >= 0, found[:, 0], start)
+            start = found[:, :BEAM]
         done = int(new[-1]) + 1
     return g
 
@@ -188,9 +189,9 @@ def query(g: Graph, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> tuple[np.ndar
         return ids, sims
     for lo in range(0, len(q), LOCKSTEP):
         part = q[lo : lo + LOCKSTEP]
-        start = np.zeros(len(part), np.int64)
+        start = np.zeros((len(part), 1), np.int64)
         for lv in range(len(g.levels) - 1, 0, -1):
-            start = _search(g, lv, part, start, 1)[0][:, 0]
+            start = _search(g, lv, part, start, BEAM)[0]
         found, sim = _search(g, 0, part, start, max(ef, k))
         ids[lo : lo + LOCKSTEP] = np.where(found[:, :k] >= 0, g.ids[found[:, :k]], -1)
         sims[lo : lo + LOCKSTEP] = sim[:, :k]
