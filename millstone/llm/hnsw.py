@@ -182,17 +182,39 @@ def build(ids: np.ndarray, vectors: np.ndarray, m: int = LINKS) -> Graph:
     return g
 
 
+def stray(g: Graph) -> np.ndarray:
+    """The first node of each part of the lowest level that the entry point and the parts before don't reach."""
+    links, seen, found, start = g.levels[0], np.zeros(len(g.ids), bool), [], 0
+    while True:
+        seen[start] = True
+        edge = np.array([start])
+        while len(edge):
+            near = links[edge].ravel()
+            edge = np.unique(near[(near >= 0) & ~seen[near]])
+            seen[edge] = True
+        rest = np.flatnonzero(~seen)
+        if not len(rest):
+            return np.array(found, np.int64)
+        start = int(rest[0])
+        found.append(start)
+
+
 def query(g: Graph, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities) of the k nearest found for each query; -1 and -inf where there are fewer."""
     ids, sims = np.full((len(q), k), -1), np.full((len(q), k), -np.inf, np.float32)
     if not len(g.ids):
         return ids, sims
+    seeds = stray(g)
     for lo in range(0, len(q), LOCKSTEP):
         part = q[lo : lo + LOCKSTEP]
         start = np.zeros((len(part), 1), np.int64)
         for lv in range(len(g.levels) - 1, 0, -1):
             start = _search(g, lv, part, start, BEAM)[0]
-        found, sim = _search(g, 0, part, start, max(ef, k))
+        if len(seeds):
+            best = seeds[np.argsort(-(part @ g.vectors[seeds].T), axis=1, kind="stable")[:, :BEAM]]
+            known = (best[:, :, None] == start[:, None, :]).any(2)
+            start = np.concatenate([np.where(known, -1, best), start], 1)
+        found, sim = _search(g, 0, part, start, max(ef, k, start.shape[1]))
         ids[lo : lo + LOCKSTEP] = np.where(found[:, :k] >= 0, g.ids[found[:, :k]], -1)
         sims[lo : lo + LOCKSTEP] = sim[:, :k]
     return ids, sims
