@@ -6,9 +6,10 @@ the whole seed (all of its terms), and they fill the window greedily, best first
 Every document of a shard is either a seed or a neighbour, and is used once.
 
 * **Routing.** The route of a document is the smallest hash of its 5-word shingles, so copies and
-  documents that share passages come to the same shard; above ``SALT_PARTITIONS`` partitions it is salted
-  with doc_id, so that a passage with copies in all documents still spreads. Shards hold up to ``SHARD`` documents, cut from a partition
-  in route order, so memory doesn't depend on the size of the corpus or of a hot route.
+  documents that share passages come to the same shard. Documents of a route are counted: only a route of
+  more than ``SHARD`` documents, which no shard can hold, is dealt out to runs of about a shard each, so
+  that a passage with copies in all documents still spreads. Shards hold up to ``SHARD`` documents, cut
+  from a partition in route order, so memory doesn't depend on the size of the corpus or of a hot route.
 * **Statistics** (number of documents, mean length, document frequency of each term) are those of the
   whole corpus. Terms are 32-bit word hashes; frequencies are counted in ``DF_BUCKETS`` hash buckets, a
   table of fixed size, with a document counted once for each bucket.
@@ -38,7 +39,6 @@ from millstone.llm import textcore as tc
 CONTEXT = 2048
 SHARD = 2048
 SHINGLE = 5
-SALT_PARTITIONS = 256
 DF_BUCKETS = 1 << 18
 PARTITION_DOCS = 4 * SHARD
 K1, B = 1.2, 0.75
@@ -194,6 +194,14 @@ def _pack(df: np.ndarray, docs: int, mean: float, context: int):
     return fn
 
 
+def _with_runs(bags: DataFrame) -> DataFrame:
+    """``bags`` with the run of each row in its route: 0, unless the route has more documents than a shard."""
+    hot = bags.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+    hot = hot.select("route", F.ceil(F.col("n") / SHARD).alias("runs"))
+    run = F.pmod(F.xxhash64("doc_id", "terms"), F.coalesce("runs", F.lit(1)))
+    return bags.join(F.broadcast(hot), "route", "left").withColumn("run", run).drop("runs")
+
+
 def lexical_packing(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Windows of up to ``context`` words over all documents (see the module for the columns)."""
     bags = tc.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_bags, BAGS), "bags")
@@ -204,8 +212,8 @@ def lexical_packing(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     df[list(n)] = list(n.values())
     parts = max(1, -(-total // PARTITION_DOCS))
     fn = _pack(df, total, max(1.0, words / max(1, total)), context)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // SALT_PARTITIONS)))
-    return bags.repartition(parts, "route", salt).sortWithinPartitions("route", "doc_id", "n_words", "terms").mapInArrow(fn, RESULT)
+    routed = _with_runs(bags).repartition(parts, "route", "run").sortWithinPartitions("route", "run", "doc_id", "n_words", "terms")
+    return routed.mapInArrow(fn, RESULT)
 
 
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,23 @@ def test_neighbours_come_first(make):
     assert mixed == {frozenset({0, 2}), frozenset({1, 3})}
 
 
+def test_copies_meet_at_any_size(make, monkeypatch):
+    monkeypatch.setattr(lp, "PARTITION_DOCS", 1)  # a partition a document, so 520 of them, as for 4 million documents
+    texts = [" ".join(prose(60, i // 2)) for i in range(520)]
+    windows = lp.lexical_packing(make(texts), context=120).collect()
+    met = sum({2 * (w["seed"] // 2), 2 * (w["seed"] // 2) + 1} == set(w["doc_ids"]) for w in windows)
+    assert met == 260
+
+
+def test_only_hot_routes_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(lp, "SHARD", 10)
+    bags = spark.range(225).selectExpr("if(id < 200, -7, id div 2) route", "if(id % 3 = 0, null, id) doc_id", "1 n_words", "cast(cast(id as string) as binary) terms", "cast('' as binary) counts")
+    rows = lp._with_runs(bags).collect()
+    assert len(rows) == 225 and all(r["run"] == 0 for r in rows if r["route"] != -7)
+    runs = Counter(r["run"] for r in rows if r["route"] == -7)
+    assert set(runs) <= set(range(20)) and len(runs) > 15 and max(runs.values()) < 30
+
+
 def test_pipeline(spark, sample, tmp_path):
     import corpus_pipeline as cp
 
