@@ -11,8 +11,9 @@ Every document of a shard is either a seed or a neighbour, and is used once.
   that a passage with copies in all documents still spreads. Shards hold up to ``SHARD`` documents, cut
   from a partition in route order, so memory doesn't depend on the size of the corpus or of a hot route.
 * **Statistics** (number of documents, mean length, document frequency of each term) are those of the
-  whole corpus. Terms are 32-bit word hashes; frequencies are counted in ``DF_BUCKETS`` hash buckets, a
-  table of fixed size, with a document counted once for each bucket.
+  whole corpus. Terms are 48-bit word hashes. Each partition counts its documents by term; the counts are
+  summed by ``term % slices``, where slices grow with the partitions, and go back to the partitions that
+  hold the term, so no task holds the vocabulary of the corpus.
 * **Long documents** fill windows by themselves, a window after another; what is left over is packed
   like a document of that length.
 
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +41,25 @@ from millstone.llm import textcore as tc
 CONTEXT = 2048
 SHARD = 2048
 SHINGLE = 5
-DF_BUCKETS = 1 << 18
+DF_BUCKETS = 1 << 18  # terms of a partition that one row of counts holds at most
 PARTITION_DOCS = 4 * SHARD
+SLICE_PARTITIONS = 4
 K1, B = 1.2, 0.75
 BAGS = "route long, doc_id long, n_words int, terms binary, counts binary"
+COUNTS = "part int, slice int, terms binary, n binary"
 RESULT = "seed long, doc_ids array<long>, starts array<int>, lengths array<int>, n_words int"
 
 
+def _packed(term: np.ndarray) -> bytes:
+    """48-bit terms as 6 bytes each: the low 4 of all, then the high 2."""
+    return term.astype(np.uint32).tobytes() + (term >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         arr, ids = tc.text_array(batch.column("text")), batch.column("doc_id")
@@ -65,8 +79,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             route = np.minimum.reduceat(grams, first)
             short = n[has] < k
             route[short] = np.minimum.reduceat(tc.mix(h), first)[short]
-            term = h.astype(np.uint32)
-            order = np.argsort(row * (1 << 32) + term, kind="stable")
+            term = h & np.uint64((1 << 48) - 1)
+            order = np.lexsort((term, row))
             r, t = row[order], term[order]
             at = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])]))
             count = np.diff(np.append(at, len(t))).astype(np.uint32)
@@ -78,26 +92,49 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(tc.signed(route)),
                     part,
                     pa.array(n[has].astype(np.int32)),
-                    pa.array([t[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                    pa.array([_packed(t[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
                     pa.array([count[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                 ],
                 names=["route", "doc_id", "n_words", "terms", "counts"],
             )
 
 
-def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs, words = np.zeros(DF_BUCKETS, np.int64), 0, 0
-    for batch in batches:
-        docs += batch.num_rows
-        words += int(np.sum(batch.column("n_words").to_numpy()))
-        for terms in batch.column("terms"):
-            total[np.unique(np.frombuffer(terms.as_buffer(), np.uint32) % DF_BUCKETS)] += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [docs, words]))], names=["bucket", "n"])
+def _partition_counts(slices: int):
+    """Documents of a partition by term, a row for each slice of the terms (more above DF_BUCKETS terms)."""
+
+    def fn(key: tuple[pa.Scalar, ...], bags: pa.Table) -> pa.Table:
+        terms = [_unpacked(t.as_buffer()) for t in bags.column("terms")]
+        term, n = np.unique(np.concatenate(terms), return_counts=True)
+        at = (term % np.uint64(slices)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        term, n, at = term[order], n[order].astype(np.uint32), at[order]
+        cut = np.flatnonzero(np.diff(at, prepend=-1))
+        cut = sorted({*cut.tolist(), *range(0, len(at), DF_BUCKETS), len(at)})
+        return pa.Table.from_arrays(
+            [
+                pa.array([key[0].as_py()] * (len(cut) - 1), pa.int32()),
+                pa.array(at[cut[:-1]], pa.int32()),
+                pa.array([_packed(term[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
+                pa.array([n[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+            ],
+            names=["part", "slice", "terms", "n"],
+        )
+
+    return fn
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The rows of a slice with n as the documents of the whole corpus."""
+    terms = [_unpacked(t.as_buffer()) for t in table.column("terms")]
+    flat, at = np.unique(np.concatenate(terms), return_inverse=True)
+    n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("n")])
+    total = np.bincount(at, n, minlength=len(flat)).astype(np.uint32)[at]
+    cut = np.cumsum([0, *map(len, terms)])
+    return table.set_column(3, "n", pa.array([total[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()))
 
 
 class Shard:
-    """BM25 index of some documents: columns for frequent terms, postings for the others."""
+    """BM25 index of some documents: columns for frequent terms, postings for the others. df is by term."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], n_words: np.ndarray, df: np.ndarray, docs: int, mean: float):
         size = np.array([len(t) for t in terms])
@@ -105,7 +142,7 @@ class Shard:
         vocab, flat = np.unique(np.concatenate(terms), return_inverse=True)
         tf = np.concatenate(counts).astype(np.float32)
         doc = np.repeat(np.arange(self.n), size)
-        freq = np.minimum(df[vocab % DF_BUCKETS], docs)
+        freq = np.minimum(df[vocab], docs)
         idf = np.log((docs - freq + 0.5) / (freq + 0.5) + 1).astype(np.float32)
         norm = (K1 * (1 - B + B * n_words / mean)).astype(np.float32)
         weight = idf[flat] * tf * (K1 + 1) / (tf + norm[doc])
@@ -168,11 +205,12 @@ def pack_shard(index: Shard, n_words: np.ndarray, context: int) -> Iterator[list
         yield window
 
 
-def _pack(df: np.ndarray, docs: int, mean: float, context: int):
-    def flush(held: list[tuple]) -> pa.RecordBatch:
+def _pack(docs: int, mean: float, context: int):
+    def flush(held: list[tuple], vocab: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
         ids, n, terms, counts = zip(*held)
         n = np.array(n)
-        index = Shard([np.frombuffer(t, np.uint32) for t in terms], [np.frombuffer(c, np.uint32) for c in counts], n, df, docs, mean)
+        codes = [np.searchsorted(vocab, _unpacked(t)) for t in terms]
+        index = Shard(codes, [np.frombuffer(c, np.uint32) for c in counts], n, df, docs, mean)
         found = list(pack_shard(index, n, context))
         cut = np.concatenate([[0], np.cumsum([len(w) for w in found])])
         flat = [p for w in found for p in w]
@@ -180,16 +218,18 @@ def _pack(df: np.ndarray, docs: int, mean: float, context: int):
         lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(v, k)) for v, k in ((which, pa.int64()), ([p[1] for p in flat], pa.int32()), ([p[2] for p in flat], pa.int32()))]
         return pa.RecordBatch.from_arrays([pa.array([ids[w[0][0]] for w in found], pa.int64()), *lists, pa.array([sum(p[2] for p in w) for w in found], pa.int32())], names=["seed", "doc_ids", "starts", "lengths", "n_words"])
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "terms", "counts"))):
-                held.append(row)
-                if len(held) == SHARD:
-                    yield flush(held)
-                    held = []
-        if held:
-            yield flush(held)
+    def fn(bags: pa.Table, counts: pa.Table) -> pa.Table:
+        vocab = np.concatenate([_unpacked(t.as_buffer()) for t in counts.column("terms")])
+        df = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in counts.column("n")]).astype(np.int64)
+        order = np.argsort(vocab)
+        vocab, df = vocab[order], df[order]
+        keys = [(k, "ascending") for k in ("route", "run", "doc_id", "n_words", "terms")]
+        bags = bags.take(pc.sort_indices(bags, sort_keys=keys, null_placement="at_start"))
+        out = []
+        for at in range(0, bags.num_rows, SHARD):
+            shard = bags.slice(at, SHARD)
+            out.append(flush(list(zip(*(shard.column(c).to_pylist() for c in ("doc_id", "n_words", "terms", "counts")))), vocab, df))
+        return pa.Table.from_batches(out)
 
     return fn
 
@@ -202,18 +242,22 @@ def _with_runs(bags: DataFrame) -> DataFrame:
     return bags.join(F.broadcast(hot), "route", "left").withColumn("run", run).drop("runs")
 
 
+def _document_frequencies(routed: DataFrame, parts: int) -> DataFrame:
+    """For each part the terms of its documents, with the documents of the corpus that hold them."""
+    counts = routed.groupBy("part").applyInArrow(_partition_counts(-(-parts // SLICE_PARTITIONS)), COUNTS)
+    return counts.groupBy("slice").applyInArrow(_summed, COUNTS)
+
+
 def lexical_packing(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Windows of up to ``context`` words over all documents (see the module for the columns)."""
     bags = tc.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_bags, BAGS), "bags")
-    counted = bags.mapInArrow(_document_frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = dict(zip(counted["bucket"].tolist(), counted["n"].tolist()))
-    total, words = n.pop(-1, 0), n.pop(-2, 0)
-    df = np.zeros(DF_BUCKETS, np.int64)
-    df[list(n)] = list(n.values())
+    total, words = bags.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     parts = max(1, -(-total // PARTITION_DOCS))
-    fn = _pack(df, total, max(1.0, words / max(1, total)), context)
-    routed = _with_runs(bags).repartition(parts, "route", "run").sortWithinPartitions("route", "run", "doc_id", "n_words", "terms")
-    return routed.mapInArrow(fn, RESULT)
+    part = F.pmod(F.xxhash64("route", "run"), F.lit(parts)).cast("int")
+    routed = _with_runs(bags).withColumn("part", part)
+    df = _document_frequencies(routed, parts)
+    fn = _pack(total, max(1.0, words / max(1, total)), context)
+    return routed.groupBy("part").cogroup(df.groupBy("part")).applyInArrow(fn, RESULT)
 
 
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,30 @@ def test_copies_meet_at_any_size(make, monkeypatch):
     assert met == 260
 
 
+def test_document_frequencies_are_exact(make):
+    texts = [" ".join([*(f"f{i}x{j}" for j in range(20_000)), "often", *["twice"] * (i % 2)]) for i in range(20)] + ["often twice"]
+    rows = make(texts).select("doc_id", "text").mapInArrow(lp._bags, lp.BAGS)
+    routed = lp._with_runs(rows).selectExpr("*", "cast(doc_id % 3 as int) part")
+    seen = [n for r in lp._document_frequencies(routed, 9).collect() for n in np.frombuffer(r["n"], np.uint32)]
+    assert Counter(seen) == {1: 400_000, 21: 3, 11: 3}
+
+
+def test_rarer_word_first_in_a_large_vocabulary(make):
+    # 1.2 million words, of which S and A share one that 2 documents hold, S and B one that 6 hold
+    filler = [" ".join([*(f"f{i}x{j}" for j in range(29_700)), *(f"c{g}" if i < 4 else f"d{i}x{g}" for g in range(300))]) for i in range(40)]
+    own = lambda name, *shared: " ".join([*(f"{name}u{j}" for j in range(50 - len(shared))), *shared])
+    groups = [own(f"{kind}{g}", *words) for g in range(300) for kind, words in (("s", (f"r{g}", f"c{g}")), ("a", (f"r{g}",)), ("b", (f"c{g}",)))]
+    windows = lp.lexical_packing(make([*groups, *filler]), context=100).collect()
+    used, wrong, right = set(), 0, 0
+    for w in windows:
+        seed, other = w["seed"], w["doc_ids"][-1]
+        if seed < 900 and seed % 3 == 0:
+            right += other == seed + 1
+            wrong += other != seed + 1 and seed + 1 not in used
+        used.update(w["doc_ids"])
+    assert right > 30 and not wrong
+
+
 def test_only_hot_routes_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(lp, "SHARD", 10)
     bags = spark.range(225).selectExpr("if(id < 200, -7, id div 2) route", "if(id % 3 = 0, null, id) doc_id", "1 n_words", "cast(cast(id as string) as binary) terms", "cast('' as binary) counts")
