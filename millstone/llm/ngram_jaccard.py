@@ -1,34 +1,40 @@
 """N-gram Jaccard join through parity sketches.
 
 A document is its set of ``n``-word shingles (ASCII case folded, punctuation ignored). Shingles are
-XOR-hashed into a sketch of 64 segments: flipping one shingle flips one bit, so the number of
-segments in which two sketches differ is at most the size of the symmetric difference. Two sets of
+XOR-hashed into a sketch of ``SEGMENTS`` segments: changing one shingle changes one segment, so the number
+of segments in which two sketches differ is at most the size of the symmetric difference. Two sets of
 sizes a and b with Jaccard similarity of at least ``t`` differ in at most (1-t)/(1+t) * (a+b)
 shingles, hence enough segments must agree (pigeonhole).
 
+* **Equal sets first.** Documents are aggregated by the identity of their set, partially in each map task,
+  and one representative of each set goes on. So exact copies travel once, however many there are.
 * **Size bands.** Band edges grow by 1/t, so the smaller set of a similar pair lies in the band of the
   larger one or in the band below; every set is entered in its own band and in the next.
-* **Join keys.** A segment is kept sparsely, as the XOR of 64-bit codes of its shingles. Of its 64
-  segments a document enters only the first d+1 in one global order, d being its largest allowed
-  difference; by the prefix principle a similar pair still shares a key. The order puts segments with
-  more text first, so the short, common shingles hardly ever become keys.
+* **Join keys.** A segment is kept sparsely, as the XOR of 64-bit codes of its shingles. Of its filled
+  segments a set enters only the first d+1 in one global order, d being its largest allowed difference;
+  by the prefix principle a similar pair that shares a segment shares a key. Where a set fills no more
+  than d segments, all of them could differ, so it enters each of its shingles as well. The order puts
+  segments with more text first, so short, common shingles hardly ever become keys.
 * **Large sets** enter a hash sample of about ``SKETCH`` shingles, the same for both sides, and d gets
-  three standard deviations on top; up to that size the search is complete, above it a pair exactly at
-  the threshold is missed with a chance of about 0.1 %.
-* **Sketch filter.** Sets that share a key meet at the key's smallest member with their parity sketches
-  of ``SKETCH_BITS`` bits (of a hash sample of about ``SKETCH_SHINGLES`` shingles, above that size). A
-  pair whose sketches differ in more bits than d allows leaves.
-* **Verification** is on the whole sets of the pairs that are left. They meet at the smallest neighbour
-  of either set, so a set travels about once for each group of copies instead of once for each pair.
-
-Equal sets are one set throughout. Result: (doc_a, doc_b, jaccard), doc_a < doc_b; one row for each
-pair of distinct sets, named by their smallest doc_id, and one row with 1.0 from that smallest doc_id
-to each other document of the same set. A group of copies therefore costs rows in proportion to its
-size.
-
-Defined cases: null doc_id, null text and texts without a word take no part; texts shorter than n words
-are one shingle; repeated rows of one doc_id count once; an empty table gives no rows; other columns
-are ignored.
+  ``SIGMAS`` standard deviations on top. Up to ``SKETCH`` shingles the search is complete.
+* **Meetings.** The sets of a key meet at the key's smallest member. A meeting of more than ``BLOCK`` sets
+  or ``BLOCK_SHINGLES`` shingles is cut into blocks, and each pair of blocks is a cell, a task's unit of
+  work; so no task holds a large group. A pair that has several meetings counts in its largest one.
+* **Sketch filter.** In a cell, pairs whose parity sketches of ``SKETCH_BITS`` bits (of the whole sets)
+  differ in more bits than their sizes allow leave. Only sets with a pair left go on.
+* **Verification** is on the whole sets, by 64-bit shingle hashes. A cell gives for each set its number of
+  links there and the smallest document of its connected part, so what leaves a cell is in proportion to
+  its sets, not to its pairs.
+
+Result, one row a document: (doc_id, class_id, n_links). A class is a connected component of the links
+between sets, named by its smallest doc_id; n_links is the number of other sets (different texts) that are
+similar to the document's. Sets are told apart by 64-bit hashes.
+
+Defined cases: a null doc_id has no row; null text and texts without a word are alone in their class, with
+no links; texts shorter than n words are one shingle; repeated rows of one doc_id count once, and a doc_id
+with different texts has the smallest of their classes and the most of their links; very long texts are
+compared whole; a pair exactly at the threshold is linked; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,14 +52,21 @@ from millstone.llm.suffix_dedup import whole_groups
 
 NGRAM = 3
 THRESHOLD = 0.6
-SEGMENTS = 64
+SEGMENTS = 256
 SKETCH = 64
+SIGMAS = 3
 SKETCH_BITS = 1024
-SKETCH_SHINGLES = 512
+BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
+SMALL = 24  # cells of up to this many sets are compared many at a time
+CHUNK = 1 << 16
+TEXT_BYTES = 4 << 20
 
 
 def band_edges(t: float, largest: int = 1 << 31) -> np.ndarray:
     """Upper size of each band, so that a size is at least t times any size of the band above."""
+    if not 0 < t < 1:
+        raise ValueError("the threshold must lie between 0 and 1")
     edges = [1]
     while edges[-1] < largest:
         edges.append(max(edges[-1] + 1, int(edges[-1] / t)))
@@ -97,10 +111,10 @@ class Shingles:
         return out
 
 
-def _allowed(n: np.ndarray, other: np.ndarray, t: float, rate: np.ndarray) -> np.ndarray:
+def _allowed(n: np.ndarray, other: np.ndarray, t: float, rate: np.ndarray | float = 1.0) -> np.ndarray:
     """Largest sampled difference of similar sets of these sizes."""
     most = (1 - t) / (1 + t) * (n + other) * rate
-    return np.floor(most + 3 * np.sqrt(most * (1 - rate)) + 1e-9).astype(np.int64)
+    return np.floor(most + SIGMAS * np.sqrt(most * (1 - rate)) + 1e-9).astype(np.int64)
 
 
 def _in_sample(grams: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -108,292 +122,355 @@ def _in_sample(grams: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return np.flatnonzero((rate >= 1) | ((draw >> np.uint64(11)).astype(np.float64) < rate * 2.0**53))
 
 
-def sketch_keys(s: Shingles, t: float, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band, whether that is the set's own band, key) of every segment by which a set is entered."""
+def sketch_keys(s: Shingles, t: float, edges: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, offsets): what each set is entered by in its own band + ``step``, row after row."""
     code = tc.mix(s.grams ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    own = np.searchsorted(edges, s.size)
-    found: list[tuple] = []
-    for step in (0, 1):
-        band = own + step
-        top = edges[np.minimum(band, len(edges) - 1)]
-        rate = np.minimum(1.0, SKETCH / top)
-        allowed = _allowed(s.size, np.minimum(s.size / t, top), t, rate)
-        chosen = _in_sample(s.grams, rate[s.row])
-        if not len(chosen):
-            continue
-        c = code[chosen]
-        group = s.row[chosen] * SEGMENTS + (c >> np.uint64(58)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        group, c, weight = group[order], c[order], s.weight[chosen][order]
-        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        value, heavy, group = np.bitwise_xor.reduceat(c, at), np.add.reduceat(weight, at), group[at]
-        row = group // SEGMENTS
-        key = tc.mix(value + (group % SEGMENTS + SEGMENTS * band[row]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.lexsort((key, -heavy, row))
-        row, key = row[order], key[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank <= allowed[row]
-        found.append((row[keep], band[row[keep]], np.full(int(keep.sum()), step == 0), key[keep]))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool), none.astype(np.uint64)
-    return tuple(np.concatenate(c) for c in zip(*found))
-
-
-def bit_sketches(s: Shingles, edges: np.ndarray, step: int) -> np.ndarray:
-    """(rows, SKETCH_BITS / 8) parity of the shingles that fall on each bit, sampled for the own band + step."""
-    top = edges[np.minimum(np.searchsorted(edges, s.size) + step, len(edges) - 1)]
-    chosen = _in_sample(s.grams, np.minimum(1.0, SKETCH_SHINGLES / top)[s.row])
-    bit = (tc.mix(s.grams[chosen] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(s.row[chosen] * SKETCH_BITS + bit, minlength=len(s.size) * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1)
-
-
-def _each_slice(batches: Iterator[pa.RecordBatch], n: int):
-    for batch in batches:
-        arr, docs = tc.text_array(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for lo, hi in tc.slices(arr):
-            yield Shingles(arr[lo:hi], n), docs[lo:hi]
-
+    band = np.searchsorted(edges, s.size) + step
+    top = edges[np.minimum(band, len(edges) - 1)]
+    rate = np.minimum(1.0, SKETCH / top)
+    allowed = _allowed(s.size, np.minimum(s.size / t, top), t, rate)
+    salt = band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    chosen = _in_sample(s.grams, rate[s.row])
+    c, owner = code[chosen], s.row[chosen]
+    group = owner * SEGMENTS + (c >> np.uint64(56)).astype(np.int64) % SEGMENTS
+    order = np.argsort(group, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0])) if len(order) else order
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(s.size) + 1, np.int64)
+    value, heavy = np.bitwise_xor.reduceat(c[order], at), np.add.reduceat(s.weight[chosen][order], at)
+    row, segment = group[order][at] // SEGMENTS, group[order][at] % SEGMENTS
+    key = tc.mix(tc.mix(value + segment.astype(np.uint64)) + salt[row])
+    order = np.lexsort((key, -heavy, row))
+    row, key = row[order], key[order]
+    filled = np.bincount(row, minlength=len(s.size))
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank <= allowed[row]
+    bare = (filled <= allowed)[owner]  # all segments of these sets could differ
+    key = np.concatenate([key[keep], tc.mix(c[bare] + salt[owner[bare]] + np.uint64(1))])
+    row = np.concatenate([row[keep], owner[bare]])
+    order = np.argsort(row, kind="stable")
+    return key[order], np.searchsorted(row[order], np.arange(len(s.size) + 1))
+
+
+def bit_sketches(row: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, SKETCH_BITS / 64) parity of the shingles that fall on each bit."""
+    out = np.zeros((rows, SKETCH_BITS // 64), np.uint64)
+    for lo in range(0, rows, 2048):
+        a, b = np.searchsorted(row, [lo, lo + 2048])
+        m = min(2048, rows - lo)
+        bit = (tc.mix(grams[a:b] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount((row[a:b] - lo) * SKETCH_BITS + bit, minlength=m * SKETCH_BITS) & 1
+        out[lo : lo + m] = np.packbits(odd.astype(np.uint8).reshape(m, -1), axis=1).view(np.uint64)
+    return out
+
+
+SETS = "doc_id long, hash long, set_id long, n long, sketch binary, own array<long>, after array<long>"
+
+
+def _map_sets(n: int, t: float):
+    """The set of each document; null where it is empty."""
 
-def _map_postings(n: int, t: float):
-    def fn(batches):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = band_edges(t)
-        for s, _ in _each_slice(batches, n):
-            ids = tc.signed(s.set_ids())
-            row, band, own, key = sketch_keys(s, t, edges)
-            yield pa.RecordBatch.from_arrays([pa.array(tc.signed(key)), pa.array(ids[row]), pa.array(band.astype(np.int32)), pa.array(own)], names=["key", "set_id", "band", "own"])
+        for batch in batches:
+            arr = tc.text_array(batch.column("text"))
+            for lo, hi in tc.slices(arr):
+                s = Shingles(arr[lo:hi], n)
+                bits = bit_sketches(s.row, s.grams, hi - lo)
+                keys = [sketch_keys(s, t, edges, step) for step in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id")[lo:hi],
+                        batch.column("hash")[lo:hi],
+                        pa.array(tc.signed(s.set_ids()), mask=s.size == 0),
+                        pa.array(s.size.astype(np.int64)),
+                        pa.array([b.tobytes() for b in bits], pa.binary()),
+                        *[tc.list_array(tc.signed(k), off, pa.int64()) for k, off in keys],
+                    ],
+                    names=["doc_id", "hash", "set_id", "n", "sketch", "own", "after"],
+                )
 
     return fn
 
 
-def _map_sketches(n: int, t: float):
-    def fn(batches):
-        edges = band_edges(t)
-        for s, _ in _each_slice(batches, n):
-            ids = tc.signed(s.set_ids())
-            own, after = bit_sketches(s, edges, 0), bit_sketches(s, edges, 1)
-            has = np.flatnonzero(s.size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[has]), pa.nulls(len(has), pa.int64()), pa.nulls(len(has), pa.int32()), pa.array(s.size[has].astype(np.int64)), pa.array([own[r].tobytes() for r in has], pa.binary()), pa.array([after[r].tobytes() for r in has], pa.binary())],
-                names=["set_id", "hub", "band", "n", "sketch", "sketch_after"],
-            )
+class Cells:
+    """Rows of whole cells: which pairs of sets each one has to compare."""
+
+    def __init__(self, part: pa.RecordBatch, n: np.ndarray, bits: np.ndarray, t: float):
+        column = lambda name: part.column(name).to_numpy(zero_copy_only=False)
+        names = [column(c) for c in ("cell", "meet", "low", "high")]
+        new = np.ones(part.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in names], axis=0)
+        self.n, self.bits, self.t, self.block, self.cross = n, bits, t, column("block"), names[2] != names[3]
+        self.cuts = np.append(np.flatnonzero(new), part.num_rows)
+        lists = part.column("before")
+        off = np.asarray(lists.offsets).astype(np.int64)
+        names, rank = np.unique(np.asarray(lists.values)[off[0] : off[-1]], return_inverse=True)
+        self.off, self.rank, self.width = off - off[0], rank, len(names) + 1
+        self.code = np.repeat(np.arange(part.num_rows), np.diff(off)) * self.width + rank
+
+    def _near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of these pairs, those that this cell counts and that sizes and sketches allow."""
+        a, b = self.n[i], self.n[j]
+        ok = np.flatnonzero((np.minimum(a, b) >= self.t * np.maximum(a, b) - 1e-9) & (~self.cross[i] | (self.block[i] != self.block[j])))
+        i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+        ok = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64) <= _allowed(a, b, self.t)
+        i, j = i[ok], j[ok]
+        ok = ~self._met_before(i, j)
+        return i[ok], j[ok]
+
+    def _met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether both sets of a pair also have an earlier meeting in common."""
+        count = self.off[i + 1] - self.off[i]
+        pair = np.repeat(np.arange(len(i)), count)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.off[i], count)
+        want = j[pair] * self.width + self.rank[at]
+        found = np.searchsorted(self.code, want)
+        hit = np.flatnonzero(found < len(self.code))
+        hit = hit[self.code[found[hit]] == want[hit]]
+        out = np.zeros(len(i), bool)
+        out[pair[hit]] = True
+        return out
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size = np.diff(self.cuts)
+        rows = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+        of = np.repeat(np.arange(len(size)), size)
+        for lo in range(0, len(rows), CHUNK // 4):
+            part = rows[lo : lo + CHUNK // 4]
+            for step in range(1, SMALL):
+                i = part[part + step < len(of)]
+                i = i[of[i] == of[i + step]]
+                if not len(i):
+                    break
+                yield self._near(i, i + step)
+        for a, b in zip(self.cuts[:-1][size > SMALL].tolist(), self.cuts[1:][size > SMALL].tolist()):
+            rows = max(1, CHUNK // (b - a))
+            for lo in range(a, b, rows):
+                i = np.arange(lo, min(b, lo + rows))
+                i, j = np.repeat(i, b - lo), np.tile(np.arange(lo, b), len(i))
+                up = i < j
+                yield self._near(i[up], j[up])
+
+
+def _sift(t: float):
+    """The sets of each cell that have a pair there whose sketches don't rule it out."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "cell"):
+            bits = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(part.num_rows, -1)
+            has = np.zeros(part.num_rows, bool)
+            for i, j in Cells(part, part.column("n").to_numpy(), bits, t).pairs():
+                has[i] = has[j] = True
+            yield part.drop_columns(["sketch"]).filter(pa.array(has))
 
     return fn
 
 
-def _gather_sketches(t: float):
-    """Of the rows of each set: its sketch for each of its meetings."""
+def union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Join the parts of each pair; a label is the smallest index of its part."""
+    while True:
+        a, b = label[i], label[j]
+        if not (a != b).any():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+
+
+class Whole:
+    """Whole sets of the rows of some cells, as sorted shingle hashes; ``n`` is 0 where the text is of another set."""
+
+    def __init__(self, part: pa.RecordBatch, n: int):
+        arr, want = tc.text_array(part.column("text")), part.column("set_id").to_numpy()
+        grams, size = [np.zeros(0, np.uint64)], []
+        for lo, hi in tc.slices(arr):
+            s = Shingles(arr[lo:hi], n)
+            size.append(np.where(tc.signed(s.set_ids()) == want[lo:hi], s.size, 0))
+            grams.append(s.grams[np.repeat(size[-1] > 0, s.size)])
+        self.grams, self.n = np.concatenate(grams), np.concatenate(size)
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Size of the intersection of each pair, by looking up the smaller set."""
+        swap = self.n[i] > self.n[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        names, rank = np.unique(self.grams, return_inverse=True)
+        code = self.row * (len(names) + 1) + rank
+        out = np.zeros(len(i), np.int64)
+        ends = np.cumsum(self.n[i])
+        lo = 0
+        while lo < len(i):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20))))
+            count = self.n[i[lo:hi]]
+            pair = np.repeat(np.arange(hi - lo), count)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[i[lo:hi]], count)
+            want = j[lo:hi][pair] * (len(names) + 1) + rank[at]
+            found = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            out[lo:hi] = np.bincount(pair[code[found] == want], minlength=hi - lo)
+            lo = hi
+        return out
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = band_edges(t)
-        for part in whole_groups(batches, "set_id"):
-            ids = part.column("set_id").to_numpy()
-            hubs, bands, n = part.column("hub").to_pylist(), part.column("band").to_pylist(), part.column("n").to_pylist()
-            own, after = part.column("sketch"), part.column("sketch_after")
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])), len(ids)).tolist()
-            out: list[tuple] = []
-            for a, b in zip(cuts, cuts[1:]):
-                at = {(bands[i], hubs[i]) for i in range(a, b) if hubs[i] is not None}
-                if not at:
-                    continue
-                i = next(i for i in range(a, b) if n[i] is not None)
-                home, all_meets = int(np.searchsorted(edges, n[i])), {}
-                for band, hub in at:
-                    all_meets.setdefault(band, []).append(_meet(band, hub))
-                for band, meets in all_meets.items():
-                    body = (own if band == home else after)[i].as_py()
-                    out.extend((m, int(ids[a]), band, n[i], sorted(meets), body) for m in meets)
-            if out:
-                cols = zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["meet", "set_id", "band", "n", "meets", "sketch"])
+    def common_all(self, rows: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of all pairs of these rows, by products of incidence matrices."""
+        owner = np.repeat(np.arange(len(rows)), self.n[rows])
+        flat = np.concatenate([self.grams[self.first[r] : self.first[r + 1]] for r in rows.tolist()])
+        _, gid, many = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = many[gid] > 1
+        _, gid = np.unique(gid[shared], return_inverse=True)
+        order = np.argsort(gid, kind="stable")
+        gid, owner = gid[order], owner[shared][order]
+        width = int(gid[-1]) + 1 if len(gid) else 0
+        block = max(1, (4 << 20) // len(rows))
+        out = np.zeros((len(rows), len(rows)), np.float32)
+        for a in range(0, width, block):
+            x, y = np.searchsorted(gid, [a, a + block])
+            m = np.zeros((len(rows), min(block, width - a)), np.float32)
+            m[owner[x:y], gid[x:y] - a] = 1
+            out += m @ m.T
+        return out.astype(np.int64)
 
-    return fn
 
+def similar(whole: Whole, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Which of the candidate pairs are similar. Dense parts of the candidates are counted all at a time."""
+    common = np.zeros(len(i), np.int64)
+    label = union(np.arange(len(whole.n)), i, j)
+    of = label[i]
+    rows = np.bincount(label, minlength=len(label))
+    many = np.bincount(of, minlength=len(label))
+    dense = (rows > 16) & (many * 10 >= rows * (rows - 1) // 2)
+    rest = ~dense[of]
+    common[rest] = whole.common(i[rest], j[rest])
+    place = np.zeros(len(label), np.int64)
+    for part in np.flatnonzero(dense).tolist():
+        inside = np.flatnonzero(label == part)
+        place[inside] = np.arange(len(inside))
+        at = np.flatnonzero(of == part)
+        common[at] = whole.common_all(inside)[place[i[at]], place[j[at]]]
+    return common >= t * (whole.n[i] + whole.n[j] - common) - 1e-9
 
-def _meet(band: int, hub: int) -> int:
-    x = tc.mix_int(hub + 0x9E3779B97F4A7C15 * (band + 1))
-    return x - (1 << 64) if x >> 63 else x
 
+FOUND = "set_id long, doc_id long, links long, low long"
 
-def _filter_sketches(t: float):
-    """Pairs of sets of each meeting whose sketches don't rule them out."""
+
+def _verify(n: int, t: float):
+    """(set, its document, links in the cell, smallest document of its part) of every set with a link."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = band_edges(t)
-        for part in whole_groups(batches, "meet"):
-            meet, ids, band, n = (part.column(c).to_numpy() for c in ("meet", "set_id", "band", "n"))
-            meets, bits = part.column("meets").to_pylist(), np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-            home = np.searchsorted(edges, n)
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1]])), len(ids))
-            xs, ys = [], []
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-                if b - a < 2:
+        for group in whole_groups(batches, "cell"):
+            for part in _cell_slices(group):
+                whole = Whole(part, n)
+                cells = Cells(part, whole.n, bit_sketches(whole.row, whole.grams, part.num_rows), t)
+                docs = part.column("doc_id").to_numpy()
+                label, links = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
+                found = [(i, j) for i, j in cells.pairs() if len(i)]
+                if not found:
                     continue
-                top = edges[min(int(band[a]), len(edges) - 1)]
-                rate = np.float64(min(1.0, SKETCH_SHINGLES / top))
-                block = max(1, (1 << 21) // (b - a) // 16)
-                for lo in range(a, b, block):
-                    hi = min(b, lo + block)
-                    small, large = np.minimum(n[lo:hi, None], n[None, a:b]), np.maximum(n[lo:hi, None], n[None, a:b])
-                    far = np.zeros((hi - lo, b - a), np.int32)
-                    for w in range(bits.shape[1]):
-                        far += np.bitwise_count(bits[lo:hi, w, None] ^ bits[None, a:b, w])
-                    good = (far <= _allowed(small, large, t, rate)) & (small >= t * large - 1e-9) & ((home[lo:hi, None] == band[a]) | (home[None, a:b] == band[a]))
-                    i, j = np.nonzero(good)
-                    i, j = i + lo, j + a
-                    xs.append(i[i < j])
-                    ys.append(j[i < j])
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                one = [len(meets[i]) == 1 or len(meets[j]) == 1 or min(set(meets[i]) & set(meets[j])) == meet[i] for i, j in zip(x.tolist(), y.tolist())]
-                x, y = x[one], y[one]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["x", "y"])
+                i, j = (np.concatenate(c) for c in zip(*found))
+                ok = (whole.n[i] > 0) & (whole.n[j] > 0)
+                i, j = i[ok], j[ok]
+                ok = similar(whole, i, j, t)
+                i, j = i[ok], j[ok]
+                label = union(label, i, j)
+                links += np.bincount(i, minlength=len(links)) + np.bincount(j, minlength=len(links))
+                low = docs.copy()
+                np.minimum.at(low, label, docs)
+                at = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([part.column("set_id").take(pa.array(at)), pa.array(docs[at]), pa.array(links[at]), pa.array(low[label[at]])], names=["set_id", "doc_id", "links", "low"])
 
     return fn
 
 
-def _map_sets(n: int):
-    def fn(batches):
-        for s, docs in _each_slice(batches, n):
-            ids = tc.signed(s.set_ids())
-            low = s.grams.astype(np.uint32)
-            has = np.flatnonzero(s.size)
-            packed = [np.sort(low[s.first[r] : s.first[r + 1]]).tobytes() for r in has]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(docs[has]), pa.nulls(len(has), pa.int64()), pa.array(packed, pa.binary())], names=["set_id", "doc_id", "hub", "grams"])
+def _cell_slices(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of whole cells of about TEXT_BYTES of text."""
+    cell = part.column("cell").to_numpy()
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
+    off = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(part.column("text")).fill_null(0)))])
+    lo = 0
+    while lo < len(cuts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off[cuts], off[cuts[lo]] + TEXT_BYTES, side="right")) - 1)
+        yield part.slice(cuts[lo], cuts[hi] - cuts[lo])
+        lo = hi
+
+
+def _meetings(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``at``: the (meet, blocks) of each of their hubs. Larger meetings have smaller numbers."""
+    size = sets.select(F.explode("hubs").alias("hub"), "n").groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    rank = 62 - F.floor(F.log2("sets")).cast("long")
+    named = size.select(
+        "hub",
+        (F.shiftleft(rank, 56) + F.xxhash64("hub").bitwiseAND(F.lit((1 << 56) - 1))).alias("meet"),
+        F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"),
+    )
+    return sets.select("set_id", F.explode("hubs").alias("hub")).join(named, "hub").groupBy("set_id").agg(F.collect_set(F.struct("meet", "blocks")).alias("at"))
 
-    return fn
 
+def _cells(sets: DataFrame) -> DataFrame:
+    """A row for each cell that a set takes part in."""
+    rows = sets.join(_meetings(sets), "set_id").select("set_id", "doc_id", "hash", "n", "sketch", F.array_sort(F.transform("at", lambda x: x["meet"])).alias("meets"), F.explode("at").alias("a"))
+    rows = rows.selectExpr("*", "a.meet", "filter(meets, x -> x < a.meet) before", "pmod(xxhash64(set_id), a.blocks) block").drop("meets")
+    rows = rows.selectExpr("*", "explode(sequence(0L, a.blocks - 1)) other").selectExpr("*", "least(block, other) low", "greatest(block, other) high")
+    return rows.selectExpr("xxhash64(meet, low, high) cell", "meet", "low", "high", "block", "set_id", "doc_id", "hash", "n", "before", "sketch")
 
-def _gather_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of each set: the set for each of its hubs, and its other documents."""
-    for part in whole_groups(batches, "set_id"):
-        ids = part.column("set_id").to_numpy()
-        docs, hubs, grams = part.column("doc_id").to_pylist(), part.column("hub").to_pylist(), part.column("grams")
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])), len(ids)).tolist()
-        out: list[tuple] = []
-        for a, b in zip(cuts, cuts[1:]):
-            if b == a + 1:
-                continue
-            at = sorted({h for h in hubs[a:b] if h is not None})
-            own = sorted({d for d in docs[a:b] if d is not None})
-            if not own:
-                continue
-            for other in own[1:]:
-                out.append((other, own[0], other, None, None))
-            if at:
-                body = next(grams[i].as_py() for i in range(a, b) if grams[i].is_valid)
-                out.extend((h, own[0], None, at, body) for h in at)
-        if out:
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
-                names=["hub", "doc_id", "other", "hubs", "grams"],
-            )
-
-
-def similar_pairs(sets: list[np.ndarray], t: float) -> Iterator[tuple[int, int, float]]:
-    """All (i, j, jaccard) of sorted sets with jaccard >= t, i < j."""
-    if len(sets) <= 6:
-        for i, a in enumerate(sets):
-            for j in range(i + 1, len(sets)):
-                b = sets[j]
-                if min(len(a), len(b)) >= t * max(len(a), len(b)) - 1e-9:
-                    both = np.concatenate([a, b])
-                    both.sort()
-                    inter = int((both[1:] == both[:-1]).sum())
-                    if inter >= t * (len(a) + len(b) - inter) - 1e-9:
-                        yield i, j, inter / (len(a) + len(b) - inter)
-        return
-    size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    gid = np.cumsum(new) - 1
-    many = np.bincount(gid)[gid] > 1
-    gid, owner = np.unique(gid[many], return_inverse=True)[1] if many.any() else gid[:0], owner[many]
-    width = int(gid[-1]) + 1 if len(gid) else 0
-    block = max(1, (4 << 20) // max(1, len(sets)))
-    rows = 512
-    for lo in range(0, len(sets), rows):
-        hi = min(lo + rows, len(sets))
-        common = np.zeros((hi - lo, len(sets)), np.float32)
-        for a in range(0, width, block):
-            x, y = np.searchsorted(gid, [a, a + block])
-            m = np.zeros((len(sets), min(block, width - a)), np.float32)
-            m[owner[x:y], gid[x:y] - a] = 1
-            common += m[lo:hi] @ m.T
-        union = size[lo:hi, None] + size[None, :] - common
-        for i, j in np.argwhere(common >= t * union - 1e-6):
-            if i + lo < j:
-                yield int(i + lo), int(j), float(common[i, j]) / float(union[i, j])
 
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell", "meet", "low", "high", "set_id")
 
-def _verify(t: float):
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, "hub"):
-            hub = part.column("hub").to_numpy()
-            docs, others, hubs, grams = (part.column(c).to_pylist() for c in ("doc_id", "other", "hubs", "grams"))
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]])), len(hub)).tolist()
-            out: list[tuple[int, int, float]] = []
-            for a, b in zip(cuts, cuts[1:]):
-                out.extend((docs[i], others[i], 1.0) for i in range(a, b) if others[i] is not None)
-                at = [i for i in range(a, b) if grams[i] is not None]
-                if len(at) < 2:
-                    continue
-                here = int(hub[a])
-                for i, j, value in similar_pairs([np.frombuffer(grams[i], np.uint32) for i in at], t):
-                    x, y = at[i], at[j]
-                    if here == min(set(hubs[x]) & set(hubs[y])) and docs[x] != docs[y]:
-                        out.append((min(docs[x], docs[y]), max(docs[x], docs[y]), value))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["doc_a", "doc_b", "jaccard"])
 
-    return fn
-
-
-def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of all documents whose shingle sets are at least ``threshold`` similar."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    postings = base.mapInArrow(_map_postings(n, threshold), "key long, set_id long, band int, own boolean")
-    over = "over (partition by key)"
-    met = (
-        postings.selectExpr("set_id", "band", f"min(set_id) {over} as hub", f"max(set_id) {over} as other", f"bool_or(own) {over} as owned")
-        .where("hub < other and owned")
-        .groupBy("set_id", "hub", "band")
-        .agg(F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.lit(None).cast("binary").alias("sketch_after"))
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """(doc_id, hash of the text, class_id, n_links) of every row that has a doc_id."""
+    band_edges(threshold)
+    work = tc.Scratch(docs.sparkSession, "jaccard")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
+    every = work.keep(base.mapInArrow(_map_sets(n, threshold), SETS), "every")
+    reps = work.keep(
+        every.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "hash")).alias("m"), *[F.first(c).alias(c) for c in ("n", "sketch", "own", "after")]).selectExpr("set_id", "m.*", "n", "sketch", "own", "after"),
+        "reps",
     )
-    sketches = base.mapInArrow(_map_sketches(n, threshold), "set_id long, hub long, band int, n long, sketch binary, sketch_after binary")
-    invited = (
-        sketches.union(met).repartition("set_id").sortWithinPartitions("set_id").mapInArrow(_gather_sketches(threshold), "meet long, set_id long, band int, n long, meets array<long>, sketch binary")
+    entries = reps.selectExpr("set_id", "inline(concat(transform(own, k -> struct(k as key, true as owned)), transform(after, k -> struct(k as key, false as owned))))")
+    # a table, so that the next join can split a key that many sets have
+    keys = work.keep(entries.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other"), F.bool_or("owned").alias("used")).where("hub < other and used").select("key", "hub"), "keys")
+    hubs = entries.select("key", "set_id").join(keys, "key").groupBy("set_id").agg(F.collect_set("hub").alias("hubs"))
+    sets = work.keep(reps.select("set_id", "doc_id", "hash", "n", "sketch").join(hubs, "set_id"), "sets")
+    columns = _cells(sets).drop("sketch").schema
+    texts = base.where("text is not null").groupBy("hash").agg(F.first("text").alias("text"))
+    chosen = _by_cell(_cells(sets)).mapInArrow(_sift(threshold), columns)
+    found = work.keep(_by_cell(chosen.join(texts, "hash")).mapInArrow(_verify(n, threshold), FOUND), "found")
+    work.drop("keys", "sets")
+    parts = components(found.select(F.col("doc_id").alias("doc_a"), F.col("low").alias("doc_b")), work)
+    links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
+    one = (
+        reps.select("set_id", F.col("doc_id").alias("rep"))
+        .join(links, "set_id", "left")
+        .join(parts.select(F.col("doc_id").alias("rep"), "group"), "rep", "left")
+        .select("set_id", F.coalesce("group", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    pairs = invited.repartition("meet").sortWithinPartitions("meet").mapInArrow(_filter_sketches(threshold), "x long, y long")
-    ends = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
-    lowest = pairs.select(ends.alias("e")).selectExpr("e.a", "e.b", "least(e.a, min(e.b) over (partition by e.a)) as low")
-    meeting = (
-        lowest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        .agg(F.min("low").alias("hub"))
-        .select("hub", F.explode(F.array("x", "y")).alias("set_id"))
-        .groupBy("hub", "set_id")
-        .agg(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("grams"))
-        .select("set_id", "doc_id", "hub", "grams")
+    one = work.keep(one, "classes")
+    work.drop("reps", "found")
+    rows = every.select("doc_id", "hash", "set_id")
+    return (
+        rows.where("set_id is not null").join(one, "set_id").select("doc_id", "hash", "class_id", "n_links").union(rows.where("set_id is null").select("doc_id", "hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     )
-    sets = base.mapInArrow(_map_sets(n), "set_id long, doc_id long, hub long, grams binary")
-    gathered = (
-        sets.union(meeting).repartition("set_id").sortWithinPartitions("set_id").mapInArrow(_gather_sets, "hub long, doc_id long, other long, hubs array<long>, grams binary")
-    )
-    return gathered.repartition("hub").sortWithinPartitions("hub").mapInArrow(_verify(threshold), "doc_a long, doc_b long, jaccard double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document; see the module for what they mean."""
+    return classes(docs, threshold, n).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+
+
+def components(edges: DataFrame, work: tc.Scratch | None = None) -> DataFrame:
     """(doc_id, group): the smallest id reachable from each endpoint of (doc_a, doc_b) edges.
 
     Alternating large-star and small-star steps, which need a logarithmic number of rounds; every round
     is written to the shared folder, so that a lost executor never recomputes earlier rounds.
     """
-    now = tc.written(edges.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u != v").distinct(), "edges")
-    seen = None
+    work = work or tc.Scratch(edges.sparkSession, "components")
+    now = work.keep(edges.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u != v").distinct(), "edges0")
+    seen, step = None, 0
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -401,9 +478,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every node points its smaller neighbours, and itself, at the smallest of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        after = tc.written(small, "edges")
-        mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        now = after
+        step += 1
+        now = work.keep(small, f"edges{step}")
+        work.drop(f"edges{step - 1}")
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break
         seen = mark
@@ -412,29 +490,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group of near copies.
+    """``docs`` with one document, that of the smallest doc_id, of each class.
 
-    Rows that take no part in the join stay. Rows that share a doc_id share its fate.
+    A row is judged by its own text. Defined cases: rows with a null doc_id stay, and so do null texts and
+    texts without a word; repeated rows of the document that stays are all kept; an empty table stays
+    empty; all columns, of whatever names, stay as they are.
     """
-    pairs = tc.written(ngram_jaccard(docs, threshold, n), "pairs")
-    gone = components(pairs).where("doc_id != group").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = classes(docs, threshold, n).where("doc_id != class_id").select(F.col("doc_id").alias("id"), "hash").distinct()
+    gone = gone.select(F.struct("id", "hash").alias("gone"))
+    row = F.struct(docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("hash"))
+    return docs.join(gone, row == gone["gone"], "left_anti")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(tc.documents(spark, sf_dir)).select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
+    return ngram_jaccard(tc.documents(spark, sf_dir))
 
 
 ORACLE = r"""
-with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                     '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') ws from documents where doc_id is not null and text is not null),
  g as (select distinct doc_id, unnest(case when len(ws) < 3 then [array_to_string(ws, ' ')]
                     else list_transform(range(len(ws) - 2), lambda i: array_to_string(ws[i+1:i+3], ' ')) end) gram from w where len(ws) > 0),
  s as (select doc_id, count(*) n, md5(string_agg(gram, '|' order by gram)) set_id from g group by 1),
  m as (select set_id, min(doc_id) rep, any_value(n) n from s group by 1),
  r as (select rep, n, gram from m join g on g.doc_id = m.rep),
- p as (select a.rep as x, b.rep as y, any_value(a.n) nx, any_value(b.n) ny, count(*) c from r a join r b on a.gram = b.gram and a.rep < b.rep group by 1, 2)
-select x as doc_a, y as doc_b, round(c / (nx + ny - c), 6) as jaccard from p where c >= 0.6 * (nx + ny - c) - 1e-9
-union all
-select rep, doc_id, 1.0 from s join m using (set_id) where doc_id != rep
+ p as (select a.rep as x, b.rep as y, any_value(a.n) nx, any_value(b.n) ny, count(*) c from r a join r b on a.gram = b.gram and a.rep < b.rep group by 1, 2),
+ l as (select x, y from p where c >= 0.6 * (nx + ny - c) - 1e-9 union all select y, x from p where c >= 0.6 * (nx + ny - c) - 1e-9),
+ d as (select x as rep, count(*) k from l group by 1),
+ c as (select rep, rep as low from m union select l.y, c.low from c join l on l.x = c.rep where c.low < l.y),
+ f as (select rep, min(low) as class_id from c group by 1)
+select t.doc_id, coalesce(f.class_id, t.doc_id) as class_id, coalesce(d.k, 0)::bigint as n_links
+from (select distinct doc_id from documents where doc_id is not null) t left join s using (doc_id) left join m using (set_id) left join f using (rep) left join d using (rep)
 """

@@ -168,25 +168,39 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir`` of the session).
 
-    Where the session names none, as in local tests, a temporary folder is set as the checkpoint
-    directory of the context first.
+    Where the session names none, a local master gets a temporary folder as its checkpoint directory; a
+    cluster must name one, since executors don't share a machine's folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millstone-"))
-            found = spark.sparkContext.getCheckpointDir()
-        base = found
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millstone-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one run in the shared folder: they cut lineage, survive lost executors, and can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_dir(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a Parquet table."""
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table of a run of its own."""
+    return Scratch(df.sparkSession, name).keep(df, "rows")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from helpers import SF, same
 from tests_util import prose
 
 from millstone.llm import ngram_jaccard, order_minhash, registry, suffix_dedup
+from millstone.llm import textcore as tc
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -62,34 +64,98 @@ def shingle_sets(texts, n=3):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
-def test_join_against_brute_force(make, threshold):
-    rng = random.Random(int(threshold * 10))
+def brute_classes(ids, texts, threshold):
+    """{doc_id: (class, links)} by comparing all different sets."""
+    sets = [frozenset(s) for s in shingle_sets(texts)]
+    docs = {}
+    for i, s in zip(ids, sets):
+        docs.setdefault(s, []).append(i)
+    docs.pop(frozenset(), None)
+    names = list(docs)
+    links = {s: 0 for s in names}
+    root = {s: s for s in names}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for a, b in combinations(names, 2):
+        if len(a & b) >= threshold * len(a | b) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            root[find(a)] = find(b)
+    low = {}
+    for s in names:
+        low[find(s)] = min(low.get(find(s), 1 << 60), *docs[s], 1 << 60)
+    return {i: (low[find(s)], links[s]) if s else (i, 0) for i, s in zip(ids, sets)}
+
+
+def edited(rng, sizes, count):
     texts = []
-    for i in range(30):
-        base = prose(rng.choice([2, 3, 5, 12, 40, 150, 700]), i)
+    for i in range(count):
+        base = prose(rng.choice(sizes), i)
         texts.append(" ".join(base))
         for _ in range(3):
             w = list(base)
             for _ in range(rng.randint(0, max(1, len(w) // 8))):
                 w[rng.randrange(len(w))] = rng.choice(prose(5, rng.random()))
             texts.append(" ".join(w[: rng.randint(max(1, int(len(w) * 0.7)), len(w))]))
-    sets = shingle_sets(texts)
-    least = {}
-    for i, s in enumerate(sets):
-        least.setdefault(frozenset(s), i)
-    want = {}
-    for (a, i), (b, j) in combinations(sorted(least.items(), key=lambda x: x[1]), 2):
-        value = len(a & b) / len(a | b)
-        if value >= threshold:
-            want[i, j] = value
-    for i, s in enumerate(sets):
-        if least[frozenset(s)] != i:
-            want[least[frozenset(s)], i] = 1.0
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_jaccard.ngram_jaccard(make(texts), threshold).collect()}
-    assert not got.keys() - want.keys()
-    assert len(want.keys() - got.keys()) <= 0.02 * len(want)
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    return texts
+
+
+def classes(docs, threshold):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_jaccard.ngram_jaccard(docs, threshold).collect()}
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6, 0.8])
+def test_join_against_brute_force(make, threshold):
+    texts = edited(random.Random(int(threshold * 10)), [2, 3, 5, 12, 40, 60, 150, 700, 3000], 40)
+    texts += ["", None, texts[4], texts[4].upper()]
+    assert classes(make(texts), threshold) == brute_classes(range(len(texts)), texts, threshold)
+
+
+def test_join_in_blocks(make, monkeypatch):
+    # every meeting is cut into many cells
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 7)
+    rng, base = random.Random(3), prose(120, 1)
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"x{i}"
+        texts.append(" ".join(w))
+    assert classes(make(texts), 0.6) == brute_classes(range(len(texts)), texts, 0.6)
+
+
+def test_short_pairs_share_a_key():
+    """Pairs of four shingles that differ in the last, at exactly the threshold: all share a key."""
+    rng = random.Random(5)
+    lines = []
+    for _ in range(20_000):
+        w = [f"w{rng.randrange(10**12)}" for _ in range(6)]
+        lines += [" ".join(w), " ".join(w) + "x"]
+    edges = ngram_jaccard.band_edges(0.6)
+    for t in (0.6, 0.2):
+        s = ngram_jaccard.Shingles(tc.text_array(pa.array(lines)), 3)
+        key, off = ngram_jaccard.sketch_keys(s, t, edges, 0)
+        found = [set(key[a:b].tolist()) for a, b in zip(off, off[1:])]
+        assert all(found[i] & found[i + 1] for i in range(0, len(found), 2))
+
+
+def test_join_of_one_repeated_text(make, spark):
+    text = " ".join(prose(80, 2))
+    d = spark.range(60_000).selectExpr("id as doc_id", f"if(id % 3 = 0, '{text}', concat('other words with number n', id, ' and no more m', id)) as text", "'z' as hub", "'z' as hash")
+    out = ngram_jaccard.ngram_jaccard(d).selectExpr("doc_id", "class_id = if(doc_id % 3 = 0, 0, doc_id) as right", "n_links").groupBy("right").agg({"doc_id": "count"}).collect()
+    assert [(r[0], r[1]) for r in out] == [(True, 60_000)]
+
+
+def test_rows_that_share_a_doc_id(make):
+    a, b = " ".join(prose(50, 1)), " ".join(prose(50, 2))
+    d = make([(7, a), (7, b), (3, a), (9, b + " more"), (9, b + " more"), (None, a)])
+    assert classes(d, 0.6) == {3: (3, 0), 7: (3, 1), 9: (7, 1)}
+    kept = sorted((r["doc_id"] or 0, r["text"] == b) for r in ngram_jaccard.drop_near_copies(d).collect())
+    assert kept == [(0, False), (3, False), (7, True)]
 
 
 def test_components_and_dropping(spark, make):
@@ -102,19 +168,6 @@ def test_components_and_dropping(spark, make):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept) == [(False, 0), (False, 1), (False, 4), (False, 5), (True, None)]
 
 
-def test_similar_pairs_large_group():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 1 << 31, 300)).astype(np.uint32)
-    sets = [np.sort(rng.choice(base, rng.integers(150, len(base)), replace=False)) for _ in range(700)]
-    got = {(i, j): v for i, j, v in ngram_jaccard.similar_pairs(sets, 0.7)}
-    as_sets = [set(s.tolist()) for s in sets]
-    for i, j in combinations(range(0, 700, 37), 2):
-        v = len(as_sets[i] & as_sets[j]) / len(as_sets[i] | as_sets[j])
-        assert (v >= 0.7) == ((i, j) in got) and (v < 0.7 or abs(got[i, j] - v) < 1e-6)
-
-
 def test_order_minhash_follows_order(make):
     w = prose(300, 4)
     edited = w[:150] + ["new"] + w[151:]
