@@ -20,8 +20,9 @@ shingles, hence enough segments must agree (pigeonhole).
 * **Meetings.** The sets of a key meet at the key's smallest member. A meeting of more than ``BLOCK`` sets
   or ``BLOCK_SHINGLES`` shingles is cut into blocks, and each pair of blocks is a cell, a task's unit of
   work; so no task holds a large group. A pair that has several meetings counts in its largest one.
-* **Sketch filter.** In a cell, pairs whose parity sketches of ``SKETCH_BITS`` bits (of the whole sets)
-  differ in more bits than their sizes allow leave. Only sets with a pair left go on.
+* **Sketch filter.** In a cell, pairs whose parity sketches of the whole sets (bits in proportion to the
+  size; the wider one is folded) differ in more bits than their sizes allow leave. Only sets with a pair
+  left go on.
 * **Verification** is on the whole sets, by 64-bit shingle hashes. A cell gives for each set its number of
   links there and the smallest document of its connected part, so what leaves a cell is in proportion to
   its sets, not to its pairs.
@@ -55,7 +56,6 @@ THRESHOLD = 0.6
 SEGMENTS = 256
 SKETCH = 64
 SIGMAS = 3
-SKETCH_BITS = 1024
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
 SMALL = 24  # cells of up to this many sets are compared many at a time
@@ -152,16 +152,61 @@ def sketch_keys(s: Shingles, t: float, edges: np.ndarray, step: int) -> tuple[np
     return key[order], np.searchsorted(row[order], np.arange(len(s.size) + 1))
 
 
-def bit_sketches(row: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, SKETCH_BITS / 64) parity of the shingles that fall on each bit."""
-    out = np.zeros((rows, SKETCH_BITS // 64), np.uint64)
-    for lo in range(0, rows, 2048):
-        a, b = np.searchsorted(row, [lo, lo + 2048])
-        m = min(2048, rows - lo)
-        bit = (tc.mix(grams[a:b] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        odd = np.bincount((row[a:b] - lo) * SKETCH_BITS + bit, minlength=m * SKETCH_BITS) & 1
-        out[lo : lo + m] = np.packbits(odd.astype(np.uint8).reshape(m, -1), axis=1).view(np.uint64)
-    return out
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows, words) as narrower ones; widths are powers of two, and so is their quotient."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+
+class Sketches:
+    """Parity of the shingles that fall on each bit, with 2 to 4 bits a shingle, 64 at least."""
+
+    def __init__(self, words: np.ndarray, off: np.ndarray):
+        self.words, self.off = words, off
+        self.width = np.diff(off)
+        self._folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def of(cls, row: np.ndarray, grams: np.ndarray, size: np.ndarray) -> Sketches:
+        width = 1 << np.ceil(np.log2(np.maximum(1, size / 32))).astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(width)])
+        mask = (width * 64 - 1).astype(np.uint64)
+        bit = (tc.mix(grams ^ np.uint64(0x5851F42D4C957F2D)) & mask[row]).astype(np.int64) + off[row] * 64
+        odd = np.bincount(bit, minlength=int(off[-1]) * 64) & 1
+        return cls(np.packbits(odd.astype(np.uint8)).view(np.uint64), off)
+
+    @classmethod
+    def read(cls, column: pa.BinaryArray) -> Sketches:
+        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+        return cls(np.ascontiguousarray(raw).view(np.uint64), (off - off[0]) // 8)
+
+    def column(self) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(self.width), [None, pa.py_buffer((self.off * 8).astype(np.int32)), pa.py_buffer(self.words)])
+
+    def folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each row, sketches of this width) of the rows that are as wide or wider."""
+        if width not in self._folded:
+            place, parts, total = np.full(len(self.width), -1, np.int64), [], 0
+            for w in np.unique(self.width[self.width >= width]).tolist():
+                rows = np.flatnonzero(self.width == w)
+                place[rows] = total + np.arange(len(rows))
+                total += len(rows)
+                parts.append(_fold(self.words[self.off[rows][:, None] + np.arange(w)], width))
+            self._folded[width] = place, np.concatenate(parts)
+        return self._folded[width]
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of each pair, at the width of the narrower sketch: at most the symmetric difference."""
+        width = np.minimum(self.width[i], self.width[j])
+        out = np.zeros(len(i), np.int64)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            place, bits = self.folded(w)
+            for lo in range(0, len(at), max(1, (1 << 20) // w)):
+                part = at[lo : lo + max(1, (1 << 20) // w)]
+                out[part] = np.bitwise_count(bits[place[i[part]]] ^ bits[place[j[part]]]).sum(1, dtype=np.int64)
+        return out
 
 
 SETS = "doc_id long, hash long, set_id long, n long, sketch binary, own array<long>, after array<long>"
@@ -176,7 +221,6 @@ def _map_sets(n: int, t: float):
             arr = tc.text_array(batch.column("text"))
             for lo, hi in tc.slices(arr):
                 s = Shingles(arr[lo:hi], n)
-                bits = bit_sketches(s.row, s.grams, hi - lo)
                 keys = [sketch_keys(s, t, edges, step) for step in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -184,7 +228,7 @@ def _map_sets(n: int, t: float):
                         batch.column("hash")[lo:hi],
                         pa.array(tc.signed(s.set_ids()), mask=s.size == 0),
                         pa.array(s.size.astype(np.int64)),
-                        pa.array([b.tobytes() for b in bits], pa.binary()),
+                        Sketches.of(s.row, s.grams, s.size).column(),
                         *[tc.list_array(tc.signed(k), off, pa.int64()) for k, off in keys],
                     ],
                     names=["doc_id", "hash", "set_id", "n", "sketch", "own", "after"],
@@ -196,7 +240,7 @@ def _map_sets(n: int, t: float):
 class Cells:
     """Rows of whole cells: which pairs of sets each one has to compare."""
 
-    def __init__(self, part: pa.RecordBatch, n: np.ndarray, bits: np.ndarray, t: float):
+    def __init__(self, part: pa.RecordBatch, n: np.ndarray, bits: Sketches, t: float):
         column = lambda name: part.column(name).to_numpy(zero_copy_only=False)
         names = [column(c) for c in ("cell", "meet", "low", "high")]
         new = np.ones(part.num_rows, bool)
@@ -214,7 +258,7 @@ class Cells:
         a, b = self.n[i], self.n[j]
         ok = np.flatnonzero((np.minimum(a, b) >= self.t * np.maximum(a, b) - 1e-9) & (~self.cross[i] | (self.block[i] != self.block[j])))
         i, j, a, b = i[ok], j[ok], a[ok], b[ok]
-        ok = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64) <= _allowed(a, b, self.t)
+        ok = self.bits.distance(i, j) <= _allowed(a, b, self.t)
         i, j = i[ok], j[ok]
         ok = ~self._met_before(i, j)
         return i[ok], j[ok]
@@ -258,7 +302,7 @@ def _sift(t: float):
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, "cell"):
-            bits = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(part.num_rows, -1)
+            bits = Sketches.read(part.column("sketch"))
             has = np.zeros(part.num_rows, bool)
             for i, j in Cells(part, part.column("n").to_numpy(), bits, t).pairs():
                 has[i] = has[j] = True
@@ -364,7 +408,7 @@ def _verify(n: int, t: float):
         for group in whole_groups(batches, "cell"):
             for part in _cell_slices(group):
                 whole = Whole(part, n)
-                cells = Cells(part, whole.n, bit_sketches(whole.row, whole.grams, part.num_rows), t)
+                cells = Cells(part, whole.n, Sketches.of(whole.row, whole.grams, whole.n), t)
                 docs = part.column("doc_id").to_numpy()
                 label, links = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
                 found = [(i, j) for i, j in cells.pairs() if len(i)]
@@ -438,9 +482,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> Da
     sets = work.keep(reps.select("set_id", "doc_id", "hash", "n", "sketch").join(hubs, "set_id"), "sets")
     columns = _cells(sets).drop("sketch").schema
     texts = base.where("text is not null").groupBy("hash").agg(F.first("text").alias("text"))
-    chosen = _by_cell(_cells(sets)).mapInArrow(_sift(threshold), columns)
-    found = work.keep(_by_cell(chosen.join(texts, "hash")).mapInArrow(_verify(n, threshold), FOUND), "found")
+    chosen = work.keep(_by_cell(_cells(sets)).mapInArrow(_sift(threshold), columns), "chosen")
     work.drop("keys", "sets")
+    found = work.keep(_by_cell(chosen.join(texts, "hash")).mapInArrow(_verify(n, threshold), FOUND), "found")
+    work.drop("chosen")
     parts = components(found.select(F.col("doc_id").alias("doc_a"), F.col("low").alias("doc_b")), work)
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     one = (

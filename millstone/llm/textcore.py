@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BASE = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 
@@ -187,8 +188,13 @@ class Scratch:
         self.spark, self.root = spark, shared_dir(spark, name)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a Parquet table."""
-        df.write.parquet(f"{self.root}/{name}")
+        """``df`` as a Parquet table. Shuffle files go as soon as it is written."""
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
