@@ -1,9 +1,18 @@
 """Approximate nearest neighbours: a navigable small-world hierarchy per shard, results merged.
 
-Vectors (cosine similarity) are split over shards of about ``SHARD`` by a hash of their id. Each shard
-builds a hierarchical navigable small-world graph, held as one flat neighbour array a level, and stores
-it as one row of a table in the shared folder. Queries, which are all rows, run against every shard in
-blocks, and the best ``k`` of all shards are merged.
+* **Equal vectors** (cosine similarity, so after scaling to unit length) are one node, named by their
+  smallest id; a node keeps its k+1 smallest ids, which are all that an answer can hold of it.
+* **Shards.** Centroids, fitted by spherical k-means on the ``ROUTE_SAMPLE`` nodes of smallest hash, place
+  every node in a cell of about half of ``SHARD``; there are at most ``CELLS`` cells, and a cell of more
+  than ``SHARD`` nodes is dealt out to several shards. Each shard builds a hierarchical navigable
+  small-world graph, held as one flat neighbour array a level, stored as one row of a table in the shared
+  folder. Every node is in exactly one graph.
+* **Queries** are the vectors whose id is divisible by ``every``, one in a hundred. Each visits all shards
+  of its ``probes`` nearest cells, in blocks of queries, and the best of them are merged. By default it
+  visits every cell: where vectors lie in all directions, near ones are in any cell, and recall falls with
+  the share of cells left out. For clustered vectors a number of probes keeps the work of a query the same
+  as the table grows. Work for building grows as the table, for visiting every cell as its square times
+  1 / (100 * SHARD).
 
 Search and construction move many queries in lockstep: a step expands the best unexpanded candidates
 of each query, so the cost of Python is spread over a block. Insertion is in rounds that at most double
@@ -12,9 +21,10 @@ than to the node is passed over while others remain), and full neighbour lists k
 
 Defined cases: null ids, null or empty vectors and vectors with a null, NaN or infinite element take no
 part, nor do vectors of another length than the most frequent one (of equally frequent lengths, the
-smallest); a repeated id is one vector, the smallest; a zero vector has similarity 0 to all; equal
-similarities go to the smaller id; fewer than k others give fewer rows; an empty table gives no rows;
-other columns are ignored.
+smallest); a repeated id is one vector, the smallest; a zero vector has similarity 0 to all; of the
+neighbours found, equal similarities go to the smaller id, and copies of a vector are ordered by id
+exactly; very long vectors are held whole; fewer than k others give fewer rows; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +40,11 @@ from pyspark.sql import functions as F
 from millstone.llm import textcore as tc
 
 NEIGHBOURS = 10
-SHARD = 16_384
-BLOCK = 8_192
+QUERY_EVERY = 100  # queries are the ids divisible by it
+SHARD = 8192
+CELLS = 1024
+ROUTE_SAMPLE = 16_384
+BLOCK = 4096
 LINKS = 16
 EF_BUILD = 64
 EF_SEARCH = 96
@@ -220,7 +233,7 @@ def query(g: Graph, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> tuple[np.ndar
     return ids, sims
 
 
-_GRAPH = "shard int, dim int, entry int, ids binary, vectors binary, levels array<binary>"
+_GRAPH = "shard long, dim int, entry int, ids binary, vectors binary, levels array<binary>"
 
 
 def _vectors(col, dim: int) -> np.ndarray:
@@ -228,58 +241,120 @@ def _vectors(col, dim: int) -> np.ndarray:
 
 
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("vec_id")
+    pdf = pdf.sort_values("node")
     dim = len(pdf["unit"].iloc[0]) // 4
-    g = build(pdf["vec_id"].to_numpy(np.int64), _vectors(pdf["unit"], dim))
+    g = build(pdf["node"].to_numpy(np.int64), _vectors(pdf["unit"], dim))
     row = {"shard": int(pdf["shard"].iloc[0]), "dim": dim, "entry": g.entry, "ids": g.ids.tobytes(), "vectors": g.vectors.tobytes(), "levels": [x.astype(np.int32).tobytes() for x in g.levels]}
     return pd.DataFrame([row])
 
 
 def _query_block(k: int):
     def fn(key, graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"vec_id": np.zeros(0, np.int64), "neighbor_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
         if not len(graphs) or not len(queries):
-            return out
+            return pd.DataFrame({"node": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "similarity": np.zeros(0)})
         r = graphs.iloc[0]
         ids = np.frombuffer(r["ids"], np.int64)
         levels = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in r["levels"]]
         g = Graph(ids, np.frombuffer(r["vectors"], np.float32).reshape(-1, r["dim"]), levels, int(r["entry"]))
-        near, sim = query(g, _vectors(queries["unit"], r["dim"]), k + 1)
-        own = np.repeat(queries["vec_id"].to_numpy(np.int64), k + 1)
+        near, sim = query(g, _vectors(queries["unit"], r["dim"]), k)
+        own = np.repeat(queries["node"].to_numpy(np.int64), k)
         near, sim = near.ravel(), sim.ravel()
-        ok = (near >= 0) & (near != own)
-        return pd.DataFrame({"vec_id": own[ok], "neighbor_id": near[ok], "similarity": sim[ok].astype(float)})
+        ok = near >= 0
+        return pd.DataFrame({"node": own[ok], "near": near[ok], "similarity": sim[ok].astype(float)})
 
     return fn
 
 
 def _units(pdf: pd.DataFrame) -> pd.DataFrame:
     v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
+    # by the largest element first, so that no square overflows or vanishes
+    v = v / np.maximum(np.abs(v).max(1, keepdims=True), np.finfo(float).tiny) if len(v) else v
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    v = (v / np.where(norm > 0, norm, 1)).astype(np.float32)
+    v = (v / np.where(norm > 0, norm, 1)).astype(np.float32) + np.float32(0)  # no negative zeros
     return pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(np.int64), "unit": [x.tobytes() for x in v]})
 
 
-def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, shard: int = SHARD) -> DataFrame:
-    """(vec_id, rank, neighbor_id, similarity) of the k nearest others of every vector."""
+def centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from the first ``cells`` rows; empty cells keep their place."""
+    c = sample[:cells].copy()
+    for _ in range(rounds):
+        of = np.concatenate([(sample[lo : lo + 4096] @ c.T).argmax(1) for lo in range(0, len(sample), 4096)]) if len(sample) else np.zeros(0, int)
+        total = np.zeros_like(c)
+        np.add.at(total, of, sample)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), c)
+    return c
+
+
+def _nearest_cells(c: np.ndarray, count: int):
+    """(node, unit, cell): a row for each of the ``count`` nearest cells of a node."""
+
+    def fn(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            s = _vectors(pdf["unit"], c.shape[1]) @ c.T
+            top = np.argsort(-s, axis=1, kind="stable")[:, :count]
+            pdf = pdf.loc[pdf.index.repeat(top.shape[1])]
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "unit": pdf["unit"].to_numpy(), "cell": top.ravel().astype(np.int32)})
+
+    return fn
+
+
+def _best(found: DataFrame, by: str, count: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("similarity"), by))
+    return found.withColumn("rank", rank).where(F.col("rank") <= count).drop("rank")
+
+
+def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, shard: int = SHARD, every: int = 1, probes: int | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, similarity) of the k nearest others of every vector whose id is divisible by ``every``."""
+    spark = embeddings.sparkSession
     good = (
         embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         .where("vec_id is not null and embedding is not null and size(embedding) > 0")
         .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     )
     common = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim, n = (common["d"], common["count"]) if common else (0, 0)
+    dim = common["d"] if common else 1
+    work = tc.Scratch(spark, "hnsw")
     one = good.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n // BLOCK))
-    units = tc.written(one.mapInPandas(lambda it: (_units(p) for p in it), "vec_id long, unit binary"), "units")
-    part = units.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    graphs = tc.written(part.groupBy("shard").applyInPandas(_build_shard, _GRAPH), "graphs")
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = units.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_query_block(k), "vec_id long, neighbor_id long, similarity double")
-    rank = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbor_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "similarity")
+    units = work.keep(one.mapInPandas(lambda it: (_units(p) for p in it), "vec_id long, unit binary"), "units")
+    place = F.row_number().over(W.partitionBy("unit").orderBy("vec_id"))
+    few = units.withColumn("place", place).where(F.col("place") <= k + 1).withColumn("node", F.min("vec_id").over(W.partitionBy("unit")))
+    ids = work.keep(few.select("node", "vec_id", "unit"), "ids")
+    nodes = ids.where("node = vec_id").select("node", "unit")
+    n = nodes.count()
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(ROUTE_SAMPLE).toPandas()
+    cells = max(1, min(-(-2 * n // shard), CELLS, len(sample)))
+    c = centroids(_vectors(sample["unit"], dim), cells) if len(sample) else np.zeros((1, dim), np.float32)
+    placed = work.keep(nodes.mapInPandas(_nearest_cells(c, 1), "node long, unit binary, cell int"), "placed")
+    parts = placed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / shard).alias("parts"))
+    parts = F.broadcast(spark.createDataFrame(parts.collect(), "cell int, parts long"))  # at most CELLS rows
+    number = (F.col("cell") * F.lit(1 << 32)).cast("long")
+    own = placed.join(parts, "cell").select("node", "unit", (number + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("shard"))
+    graphs = work.keep(own.groupBy("shard").applyInPandas(_build_shard, _GRAPH), "graphs")
+
+    asked = work.keep(units.where(F.pmod("vec_id", F.lit(every)) == 0).join(nodes, "unit").select("vec_id", "node"), "asked")
+    seekers = nodes.join(asked.select("node").distinct(), "node")
+    visits = seekers.mapInPandas(_nearest_cells(c, min(probes or cells, cells)), "node long, unit binary, cell int").join(parts, "cell")
+    visits = work.keep(visits.select("node", "unit", F.explode(F.sequence(number, number + F.col("parts") - 1)).alias("shard")), "visits")
+    blocks = visits.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    left = graphs.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    right = visits.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_query_block(k + 1), "node long, near long, similarity double")
+    # a node's copies are in its answer whether the search met it or not
+    self = seekers.select("node", F.col("node").alias("near"), F.when(F.col("unit") == F.lit(bytes(4 * dim)), 0.0).otherwise(1.0).alias("similarity"))
+    found = found.where("node != near").union(self)
+    members = ids.select(F.col("node").alias("near"), F.col("vec_id").alias("id"))
+    answers = _best(_best(found, "near", k + 1).join(members, "near"), "id", k + 1)
+    answers = answers.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "id"))).alias("best"))
+    return (
+        asked.join(answers, "node")
+        .select("vec_id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("vec_id")), 1, k)).alias("at", "b"))
+        .select("vec_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("neighbor_id"), (-F.col("b.far")).alias("similarity"))
+    )
 
 
 def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The neighbours of every vector whose id is divisible by QUERY_EVERY, among all vectors."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=QUERY_EVERY)

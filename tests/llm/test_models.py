@@ -119,19 +119,53 @@ def test_masking(make):
     assert len(found) == 5 and all(texts[r["doc_id"]][r["start_char"] : r["start_char"] + r["n_chars"]] == secret for r in found)
 
 
-def test_hnsw_recall(spark):
+def brute_neighbours(v, queries, k):
+    """Exact neighbours by similarity, then id; row numbers are ids."""
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    s = v[queries] @ v.T
+    s[np.arange(len(queries)), queries] = -2
+    return {q: np.argsort(-np.round(row, 6), kind="stable")[:k].tolist() for q, row in zip(queries, s)}
+
+
+def recall(rows, want):
+    got = {}
+    for r in rows:
+        got.setdefault(r["vec_id"], set()).add(r["neighbor_id"])
+    assert all(len(got[q]) == len(w) for q, w in want.items()) and got.keys() == want.keys()
+    return np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()])
+
+
+@pytest.mark.parametrize("shard, probes, least", [(hnsw.SHARD, None, 0.95), (200, None, 0.97), (200, 8, 0.7)])
+def test_hnsw_recall(spark, shard, probes, least):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = hnsw.nearest(e, k=10, shard=900).toPandas()
-    rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet' order by vec_id").fetchall()
-    v = np.array([r[1] for r in rows], np.float64)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    s = v @ v.T
-    np.fill_diagonal(s, -2)
-    ids = np.array([r[0] for r in rows])
-    top = {ids[i]: set(ids[np.argsort(-s[i])[:10]]) for i in range(len(ids))}
-    hits = sum(len(top[k] & set(g)) for k, g in got.groupby("vec_id")["neighbor_id"])
-    assert len(got) == 10 * len(ids) and hits / (10 * len(ids)) > 0.9
-    assert (got.groupby("vec_id")["rank"].max() == 10).all()
+    v = np.array([r[0] for r in duckdb.sql(f"select embedding from '{SF}/embeddings.parquet' order by vec_id").fetchall()], np.float64)
+    rows = hnsw.nearest(e, k=10, shard=shard, probes=probes).collect()
+    assert recall(rows, brute_neighbours(v, range(len(v)), 10)) > least
+    near = {(r["vec_id"], r["neighbor_id"]): r["similarity"] for r in rows}
+    a, b = map(list, zip(*near))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.allclose(np.einsum("nd,nd->n", unit[a], unit[b]), list(near.values()), atol=1e-5)
+
+
+def test_hnsw_queries_are_every_hundredth(spark):
+    got = hnsw.op9_hnsw(spark, SF).groupBy("vec_id").count().collect()
+    assert {(r[0], r[1]) for r in got} == {(i, 10) for i in range(0, 2000, 100)}
+
+
+def test_hnsw_copies_are_ordered_by_id(spark):
+    # a third of the rows are one vector, and a third lie around another
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (1500, 12))
+    v[::3] = v[0]
+    v[1::3] = v[1] + rng.normal(0, 0.01, (500, 12))
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    rows = hnsw.nearest(d, k=10, shard=120, every=2).collect()
+    want = brute_neighbours(v, range(0, 1500, 2), 10)
+    assert recall(rows, want) > 0.95
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["vec_id"], []).append(r["neighbor_id"])
+    assert all(got[q] == want[q] for q in range(0, 1500, 6))
 
 
 def test_hnsw_cases(spark):
