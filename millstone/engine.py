@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
 import logging
 import os
 import re
 from collections.abc import Callable, Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,10 @@ from millstone.operators.ranking import algorithm
 from millstone.params import Params
 from millstone.plans import query_lang, search_plan
 from millstone.sources.fs import Files
-from millstone.sources.index_store import Store
+from millstone.sources.index_store import Commit, Store
 
 BASE_DIR_VARIABLE = "MILLSTONE_BASEDIR"
+FILTER_DIR_VARIABLE = "MILLSTONE_FILTERDIR"
 LOG_VARIABLE = "MILLSTONE_LOG_LEVEL"
 LEVELS = {"CRITICAL": 50, "ERROR": 40, "WARNING": 30, "NOTICE": 25, "INFO": 20, "DEBUG": 10}
 DEFAULT_FILTERS = ["normalizer", "stopwords", "stemmer"]
@@ -40,7 +43,7 @@ def _name(name: str) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base_dir: str | None = None):
+    def __init__(self, spark: SparkSession, base_dir: str | None = None, filter_dir: str | None = None):
         base = base_dir or os.environ.get(BASE_DIR_VARIABLE)
         if not base:
             raise InvalidError("no base directory")
@@ -49,16 +52,35 @@ class Engine:
         if not self.files.is_dir(self.files.root):
             raise MissingError(f"base directory {base} does not exist")
         self.files.mkdirs(self.files.path("data"))
-        self.registry = text.Registry()
+        words = {lang: self.files.read(self.files.path("filters", "stopwords", lang)).splitlines() for lang in self.files.names(self.files.path("filters", "stopwords"))}
+        self.registry = text.Registry({lang: frozenset(w for w in found if w) for lang, found in words.items()})
         self._open: dict[str, Index] = {}
+        if filter_dir := filter_dir or os.environ.get(FILTER_DIR_VARIABLE):
+            self.load_filters(filter_dir)
 
     def close(self) -> None:
         for index in list(self._open.values()):
             index.close()
 
-    def register_filter(self, name: str, filter: Callable, create: Callable[[Mapping], object] | None = None) -> None:
-        """A token filter: ``filter(context, token)`` gives a token, or None to discard; raising fails the call."""
-        self.registry.register(name, filter, create)
+    def register_filter(self, name: str, filter: Callable, create: Callable[[Mapping], object] | None = None, destroy: Callable[[object], None] | None = None) -> None:
+        """A token filter: ``filter(context, token)`` gives a token, or None to discard; raising fails the call.
+
+        ``create(params)`` makes the context of an index, and ``destroy(context)`` ends it when the index is closed.
+        """
+        self.registry.register(name, filter, create, destroy)
+
+    def load_filters(self, folder: str) -> None:
+        """Register the filters of a local folder, whose Python files are trusted and run.
+
+        Each file defines ``filter(context, token)``, and may define ``create(params)`` and
+        ``destroy(context)``; the file's name is the filter's.
+        """
+        for path in sorted(Path(folder).glob("*.py")):
+            # outside of sys.modules, so that its functions travel to the executors by value
+            spec = importlib.util.spec_from_file_location(f"filter_{path.stem}", path)
+            module = importlib.util.module_from_spec(spec)
+            spec.loader.exec_module(module)
+            self.register_filter(path.stem, getattr(module, "filter", None), getattr(module, "create", None), getattr(module, "destroy", None))
 
     def _root(self, name: str) -> str:
         return self.files.path("data", _name(name))
@@ -72,7 +94,7 @@ class Engine:
         if full.get_strlist("filters") is None:
             raise InvalidError("filters must be a list of names")
         algorithm(full.get("algo"))
-        self.registry.pipeline(full["filters"], full)
+        self.registry.pipeline(full["filters"], full).close()
         if self.files.exists(root):
             raise ExistsError(f"index '{name}' already exists")
         self.files.mkdirs(root)
@@ -110,7 +132,8 @@ class Index:
         self.store.snapshot()
 
     def close(self) -> None:
-        self.engine._open.pop(self.name, None)
+        if self.engine._open.pop(self.name, None):
+            self.pipeline.close()
 
     @property
     def doc_count(self) -> int:
@@ -129,101 +152,115 @@ class Index:
     def add(self, doc_id: int, content: str, store: bool = False) -> None:
         self.add_documents(self.spark.createDataFrame([(doc_id, content)], "doc_id long, text string"), store)
 
-    def add_documents(self, docs: DataFrame, store: bool = False) -> None:
+    def add_documents(self, docs: DataFrame, store: bool = False, skip_empty: bool = False) -> None:
         """Add (doc_id, text) as one commit, all or nothing; with ``store`` the texts are kept as well.
 
         InvalidError for an id that is null or below 1, ExistsError for one that is repeated or indexed
-        already, MissingError for a text without a token, LimitError for an overlong token.
+        already, LimitError for an overlong token, MissingError for a text without a token; with
+        ``skip_empty`` such texts are left out instead.
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         s = self.store.snapshot()
-        commit = s.next
-        path = self.store.path("postings", commit)
-        if not docs.where("doc_id is null or doc_id < 1").isEmpty():
-            raise InvalidError("document ID must be a positive number")
+        commit = self.store.begin(s)
         try:
-            (
-                analysis.analyze(docs, self.words(), self.pipeline)
-                .repartition("term")
-                .sortWithinPartitions("term", "doc_id")
-                .write.mode("overwrite")
-                .parquet(path)
-            )
-            entry = self._checked(path, s)
-            counts = self.spark.read.schema(analysis.POSTINGS).parquet(path).where(F.col("term") != HEADER)
-            self._write_terms(counts.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total")), commit)
+            # texts are analysed once, where they are; what follows moves only postings
+            analysis.analyze(docs, self.words(), self.pipeline).write.parquet(commit.path("staged"))
+            staged = self.spark.read.schema(analysis.POSTINGS).parquet(commit.path("staged"))
+            heads = staged.where(F.col("term") == HEADER)
+            entry = self._checked(heads, s, skip_empty)
+            if not entry["docs"] and skip_empty:
+                return commit.discard()
+            heads.where("doc_len > 0").select("doc_id", "doc_len").sortWithinPartitions("doc_id").write.parquet(commit.path("docs"))
+            rows = staged.where(F.col("term") != HEADER)
+            self._write_postings(rows, commit)
+            self._write_terms(rows.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total")), commit)
             if store:
-                docs.select("doc_id", F.col("text").alias("content")).write.mode("overwrite").parquet(self.store.path("content", commit))
-            self.store.publish({"id": commit, "kind": "add", "content": store, **entry})
+                kept = docs.select("doc_id", F.col("text").alias("content"))
+                if skip_empty:
+                    kept = kept.join(heads.where("doc_len > 0").select("doc_id"), "doc_id", "left_semi")
+                kept.write.parquet(commit.path("content"))
+            commit.publish(kind="add", content=store, **entry)
         except Exception:
-            if not any(c["id"] == commit for c in self.store.snapshot().commits):
-                for table in ("postings", "terms", "content"):
-                    self.store.files.delete(self.store.path(table, commit))
+            commit.discard()
             raise
-        log.info("index %s: commit %d adds %d documents", self.name, commit, entry["docs"])
+        commit.discard("staged")
+        log.info("index %s: commit %d adds %d documents", self.name, commit.id, entry["docs"])
 
-    def _checked(self, path: str, s) -> dict:
-        """Counts of a commit just written, after the checks that need them."""
-        headers = self.spark.read.schema(analysis.POSTINGS).parquet(path).where(F.col("term") == HEADER)
-        per = headers.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("doc_len").alias("doc_len"), F.max("tf").alias("over"))
+    def _checked(self, heads: DataFrame, s, skip_empty: bool) -> dict:
+        """Counts of a commit, after the checks that need them."""
+        per = heads.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("doc_len").alias("doc_len"), F.max("tf").alias("over"))
         found = per.agg(
-            F.count("*").alias("docs"), F.sum("doc_len").alias("words"), F.min(F.when(F.col("n") > 1, F.col("doc_id"))).alias("twice"),
-            F.min(F.when(F.col("doc_len") == 0, F.col("doc_id"))).alias("empty"), F.max("over").alias("over"),
+            F.expr("count_if(doc_len > 0) as docs"), F.sum("doc_len").alias("words"), F.min(F.when(F.col("n") > 1, F.col("doc_id"))).alias("twice"),
+            F.min(F.when(F.col("doc_len") == 0, F.col("doc_id"))).alias("empty"), F.max("over").alias("over"), F.expr("count_if(doc_id is null or doc_id < 1) as bad"),
         ).first()
+        if found["bad"]:
+            raise InvalidError("document ID must be a positive number")
         if found["over"]:
             raise LimitError(f"term too long ({found['over']})")
         known = found["twice"]
         if known is None and s.doc_count:
-            clash = headers.select("doc_id").join(self.store.docs(s), "doc_id", "left_semi").agg(F.min("doc_id")).first()
+            clash = heads.select("doc_id").join(self.store.docs(s), "doc_id", "left_semi").agg(F.min("doc_id")).first()
             known = clash[0]
         if known is not None:
             raise ExistsError(f"document {known} is already indexed")
-        if found["empty"] is not None:
+        if found["empty"] is not None and not skip_empty:
             raise MissingError("the text is empty or no meaningful tokens found")
         return {"docs": found["docs"], "words": found["words"] or 0}
 
-    def _write_terms(self, terms: DataFrame, commit: int) -> None:
-        terms.select("term", "doc_freq", "total").sortWithinPartitions("term").write.mode("overwrite").parquet(self.store.path("terms", commit))
+    def _write_postings(self, rows: DataFrame, commit: Commit) -> None:
+        """In ranges of (term, doc_id), so that a term of most documents spreads over many tasks."""
+        rows.select("term", "doc_id", "tf", "doc_len").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(commit.path("postings"))
+
+    def _write_terms(self, terms: DataFrame, commit: Commit) -> None:
+        terms.select("term", "doc_freq", "total").sortWithinPartitions("term").write.parquet(commit.path("terms"))
 
     def remove(self, doc_id: int) -> None:
         self.remove_documents(self.spark.createDataFrame([(doc_id,)], "doc_id long"))
 
     def remove_documents(self, ids: DataFrame) -> None:
         """Remove documents as one commit; MissingError if one of them isn't indexed."""
-        ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         s = self.store.snapshot()
-        commit = s.next
-        live = self.store.docs(s)
-        unknown = ids.join(live, "doc_id", "left_anti").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).first()
-        if unknown["n"]:
-            raise MissingError(f"document {unknown['id']} does not exist")
-        path = self.store.path("removed", commit)
-        ids.write.mode("overwrite").parquet(path)
-        ids = self.spark.read.schema("doc_id long").parquet(path)
-        gone = live.join(ids, "doc_id", "left_semi").agg(F.count("*").alias("docs"), F.sum("doc_len").alias("words")).first()
-        lost = self.store.postings(s).join(ids, "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("doc_freq"), (-F.sum("tf")).alias("total"))
-        self._write_terms(lost, commit)
-        self.store.publish({"id": commit, "kind": "remove", "docs": -gone["docs"], "words": -(gone["words"] or 0)})
+        commit = self.store.begin(s)
+        try:
+            ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().write.parquet(commit.path("removed"))
+            ids = self.spark.read.schema("doc_id long").parquet(commit.path("removed"))
+            live = self.store.docs(s)
+            unknown = ids.join(live, "doc_id", "left_anti").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).first()
+            if unknown["n"]:
+                raise MissingError(f"document {unknown['id']} does not exist")
+            gone = live.join(ids, "doc_id", "left_semi").agg(F.count("*").alias("docs"), F.sum("doc_len").alias("words")).first()
+            lost = self.store.postings(s).join(ids, "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("doc_freq"), (-F.sum("tf")).alias("total"))
+            self._write_terms(lost, commit)
+            commit.publish(kind="remove", docs=-gone["docs"], words=-(gone["words"] or 0))
+        except Exception:
+            commit.discard()
+            raise
 
     def compact(self) -> None:
-        """Rewrite all commits as one, without what is removed; terms of removed documents stay known."""
+        """Rewrite all commits as one, without what is removed; terms of removed documents stay known.
+
+        The new entry takes the place of the old ones in one step. Their files stay for searches under way
+        until ``vacuum``.
+        """
         s = self.store.snapshot()
         if len(s.commits) < 2:
             return
-        commit = s.next
-        live = self.store.docs(s).select(F.lit(HEADER).alias("term"), "doc_id", F.lit(0).cast("long").alias("tf"), "doc_len")
-        rows = self.store.postings(s).select("term", "doc_id", "tf", "doc_len").union(live)
-        rows.repartition("term").sortWithinPartitions("term", "doc_id").write.parquet(self.store.path("postings", commit))
-        self._write_terms(self.store.terms(s), commit)
-        content = any(c.get("content") for c in s.commits)
-        if content:
-            self.store.content(s).write.parquet(self.store.path("content", commit))
-        self.store.publish({"id": commit, "kind": "add", "content": content, "docs": s.doc_count, "words": s.token_count})
-        for c in s.commits:
-            self.store.files.delete(self.store.files.path("log", f"{c['id']:012d}.json"))
-        for c in s.commits:
-            for table in ("postings", "terms", "content", "removed"):
-                self.store.files.delete(self.store.path(table, c["id"]))
+        commit = self.store.begin(s)
+        try:
+            self.store.docs(s).sortWithinPartitions("doc_id").write.parquet(commit.path("docs"))
+            self._write_postings(self.store.postings(s), commit)
+            self._write_terms(self.store.terms(s), commit)
+            content = any(c.get("content") for c in s.commits)
+            if content:
+                self.store.content(s).write.parquet(commit.path("content"))
+            commit.publish(kind="compact", content=content, docs=s.doc_count, words=s.token_count, replaces=[c["id"] for c in s.commits])
+        except Exception:
+            commit.discard()
+            raise
+
+    def vacuum(self, seconds: float = 86_400) -> None:
+        """Delete files that no commit in use names and that are older than so many seconds."""
+        self.store.vacuum(seconds)
 
     # ---- reading ------------------------------------------------------------------------------------
 
@@ -242,7 +279,7 @@ class Index:
         found = {v: v for (v,) in terms.where(F.col("term").isin(values)).select("term").collect()} if values else {}
         rest = [v for v in values if v not in found]
         if rest and fuzzymatch:
-            near = fuzzy.candidates(self.spark.createDataFrame([(v,) for v in rest], "value string"), terms)
+            near = fuzzy.candidates(rest, terms)
             found |= {r["value"]: r["term"] for r in fuzzy.best(near).collect()}
         return found
 

@@ -49,47 +49,59 @@ def normalize(s: str) -> str:
     return strip_diacritics(nfkc_casefold(s))
 
 
-def _stopwords(params: Mapping) -> Filter:
-    words = STOPWORDS.get(params.get("lang", "en"), frozenset())
-    return lambda s: None if s in words else s
-
-
-BUILTIN: dict[str, Factory] = {
-    "normalizer": lambda params: normalize,
-    "stopwords": _stopwords,
-    "stemmer": lambda params: stemmer(params.get("lang", "en")),
-}
+class Registry:
+    """Filters by name: the built-in ones and the user's. ``stopwords`` are lists by language that replace the built-in ones."""
 
+    def __init__(self, stopwords: Mapping[str, frozenset[str]] | None = None):
+        lists = STOPWORDS | dict(stopwords or {})
 
-class Registry:
-    """Filters by name: the built-in ones and the user's."""
+        def drop(params: Mapping) -> Filter:
+            words = lists.get(params.get("lang", "en"), frozenset())
+            return lambda s: None if s in words else s
 
-    def __init__(self):
-        self._factories: dict[str, Factory] = dict(BUILTIN)
+        self._factories: dict[str, Factory] = {"normalizer": lambda params: normalize, "stopwords": drop, "stemmer": lambda params: stemmer(params.get("lang", "en"))}
+        self._destroy: dict[str, Callable[[object], None]] = {}
 
-    def register(self, name: str, filter: Callable, create: Callable[[Mapping], object] | None = None) -> None:
+    def register(self, name: str, filter: Callable, create: Callable[[Mapping], object] | None = None, destroy: Callable[[object], None] | None = None) -> None:
         """``filter(context, token)`` returns the new token, or None to discard; create(params) makes the context."""
         if name in self._factories:
             raise ExistsError(f"filter '{name}' is already registered")
         if not callable(filter):
             raise InvalidError(f"filter '{name}' has no filter function")
+        self._factories[name] = lambda params: _User(filter, create(params) if create else None)
+        if destroy:
+            self._destroy[name] = destroy
 
-        def factory(params: Mapping) -> Filter:
-            context = create(params) if create else None
-            return lambda token: filter(context, token)
-
-        self._factories[name] = factory
-
-    def pipeline(self, names: list[str], params: Mapping) -> Filter:
+    def pipeline(self, names: list[str], params: Mapping) -> Pipeline:
         for name in names:
             if name not in self._factories:
                 raise InvalidError(f"filter '{name}' not found")
-        return Pipeline([self._factories[n](params) for n in names])
+        made = [(n, self._factories[n](params)) for n in names]
+        return Pipeline([f for _, f in made], [(self._destroy[n], f) for n, f in made if n in self._destroy])
+
+
+class _User:
+    """A user's filter with its context."""
+
+    def __init__(self, filter: Callable, context: object):
+        self.filter, self.context = filter, context
+
+    def __call__(self, token: str) -> str | None:
+        return self.filter(self.context, token)
 
 
 class Pipeline:
-    def __init__(self, filters: list[Filter]):
-        self.filters = filters
+    def __init__(self, filters: list[Filter], ends: list[tuple[Callable[[object], None], _User]] | None = None):
+        self.filters, self._ends = filters, ends or []
+
+    def __getstate__(self) -> dict:
+        return {"filters": self.filters, "_ends": []}  # contexts end where they were made
+
+    def close(self) -> None:
+        """Destroy the contexts of the user's filters, once."""
+        ends, self._ends = self._ends, []
+        for destroy, made in ends:
+            destroy(made.context)
 
     def __call__(self, token: str) -> str | None:
         for f in self.filters:

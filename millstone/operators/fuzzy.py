@@ -19,18 +19,20 @@ def byte_levenshtein(a: Column, b: Column, limit: int | None = None) -> Column:
     return F.levenshtein(_bytes(a), _bytes(b)) if limit is None else F.levenshtein(_bytes(a), _bytes(b), limit)
 
 
-def candidates(values: DataFrame, terms: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """(value, term, total, distance) of all used terms within the tolerance of each value.
+def candidates(values: list[str], terms: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(value, term, total, distance) of all used terms within the tolerance of each value of a query.
 
-    Values are those of a query, so they are broadcast; the length band is tested before the distance.
+    The values are constants of a narrow pass over the terms; the length band is tested before the distance.
     """
-    used = terms.where(F.col("total") > 0)
+    if not values:
+        return terms.select(F.lit("").alias("value"), "term", "total", F.lit(0).alias("distance")).limit(0)
     near = F.abs(F.octet_length("value") - F.octet_length("term")) <= tolerance
     return (
-        used.join(F.broadcast(values), near)
+        terms.where(F.col("total") > 0)
+        .select(F.explode(F.array(*[F.lit(v) for v in values])).alias("value"), "term", "total")
+        .where(near)
         .withColumn("distance", byte_levenshtein(F.col("value"), F.col("term"), tolerance))
         .where(F.col("distance") >= 0)
-        .select("value", "term", "total", "distance")
     )
 
 

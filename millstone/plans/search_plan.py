@@ -74,25 +74,3 @@ def ranked(postings: DataFrame, tree: Node | Leaf, term_of: dict[str, str], toke
     )
     has = {v: F.col(flags[t]) for v, t in term_of.items()}
     return top(found.where(condition(tree, has) & F.col("score").isNotNull()).select("doc_id", "score"), limit)
-
-
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
-
-
-def scan_ranked(docs: DataFrame, words: Column, tree: Node | Leaf, algo: str = "BM25", limit: int | None = LIMIT) -> DataFrame:
-    """The same search without an index: (doc_id, score) straight from the texts' word arrays.
-
-    Values are taken as they are. Term and document statistics are one aggregation of the same narrow
-    pass, so nothing is shuffled but one row a partition.
-    """
-    from millstone.plans.query_lang import leaves
-
-    rank = algorithm(algo)
-    terms = list(dict.fromkeys(leaves(tree)))
-    base = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("double").alias("dl"), *[_count("words", t).alias(f"tf_{i}") for i, t in enumerate(terms)])
-    stats = base.where("dl > 0").agg(F.count("*").cast("double").alias("n"), F.sum("dl").alias("tokens"), *[F.sum((F.col(f"tf_{i}") > 0).cast("double")).alias(f"df_{i}") for i in range(len(terms))])
-    parts = [F.coalesce(rank(F.col(f"tf_{i}"), F.col("dl"), F.col(f"df_{i}"), F.col("n"), F.col("tokens")), F.lit(0.0)) for i in range(len(terms))]
-    keep = condition(tree, {t: F.col(f"tf_{i}") > 0 for i, t in enumerate(terms)})
-    scored = base.where(keep).crossJoin(F.broadcast(stats)).select("doc_id", reduce(lambda a, b: a + b, parts).alias("score"))
-    return scored if limit is None else top(scored, limit)

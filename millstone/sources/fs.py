@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from millstone.errors import InvalidError
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
@@ -44,14 +49,53 @@ class Files:
         finally:
             stream.close()
 
-    def write_new(self, path: str, text: str) -> bool:
-        """Write a file that must not exist; false if it does. Readers never see a part of it."""
+    def children(self, path: str) -> list[tuple[str, int]]:
+        """(name, time of change in ms) of what lies in a folder."""
         fs, p = self._at(path)
-        draft = self._jvm.org.apache.hadoop.fs.Path(f"{path}.{self._jvm.java.util.UUID.randomUUID()}.draft")
-        stream = fs.create(draft, False)
+        return sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def write(self, path: str, text: str) -> None:
+        """Write or replace a file."""
+        fs, p = self._at(path)
+        stream = fs.create(p, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(p) or not fs.rename(draft, p):
-            fs.delete(draft, False)
-            return False
+
+    def write_new(self, path: str, text: str) -> bool:
+        """Write a file that must not exist; false if it does. Readers never see a part of it.
+
+        Of several writers exactly one succeeds: a local file is linked to its name, elsewhere the draft is
+        renamed without replacing, which the name node of a distributed file system does in one step.
+        An object store must refuse such a rename or creation itself.
+        """
+        jvm = self._jvm
+        fs, p = self._at(path)
+        draft = f"{path}.{jvm.java.util.UUID.randomUUID()}.draft"
+        fs.mkdirs(p.getParent())
+        self.write(draft, text)
+        d = jvm.org.apache.hadoop.fs.Path(draft)
+        try:
+            if fs.getUri().getScheme() == "file":
+                link, target = (jvm.java.io.File(x.toUri().getPath()).toPath() for x in (p, d))
+                jvm.java.nio.file.Files.createLink(link, target)
+            else:
+                none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf).rename(d, p, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        finally:
+            fs.delete(d, False)
         return True
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; on a local master a temporary one otherwise."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millstone-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")

@@ -216,7 +216,7 @@ def test_base_dir(spark, tmp_path, monkeypatch):
 
 def test_format_version(engine):
     index = filled(engine, [(1, "a b")])
-    log = index.store.files.path("log", "000000000009.json")
+    log = index.store.files.path("log", f"{9:012d}.json")
     index.store.files.write_new(log, '{"format_version": 99, "id": 9, "kind": "add", "docs": 0, "words": 0}')
     with pytest.raises(FatalError):
         index.search("a")
@@ -228,7 +228,140 @@ def test_snapshots_and_two_writers(engine):
     index.add(2, "a")
     assert index.store.docs(before).count() == 1 and index.doc_count == 2
     with pytest.raises(ExistsError, match="another writer"):
-        index.store.publish({"id": 1, "kind": "add", "docs": 0, "words": 0})
+        index.store.publish({"id": 1, "part": "x", "kind": "add", "docs": 0, "words": 0})
+
+
+def docs_of(spark, *rows):
+    return spark.createDataFrame(list(rows), DOCS)
+
+
+@pytest.mark.parametrize("when, loser", [("before", "add"), ("before", "remove"), ("before", "compact"), ("after", "compact")])
+def test_writer_that_comes_second_changes_nothing(engine, spark, tmp_path, monkeypatch, when, loser):
+    """Another writer publishes while a commit is written; whatever the loser wrote stays unseen."""
+    index = filled(engine, [(1, "red fox"), (2, "blue fox")])
+    index.add(3, "green fox")
+    other = Engine(spark, str(tmp_path)).open_index("t")
+    publish = index.store.publish
+
+    def late(entry):
+        monkeypatch.setattr(index.store, "publish", publish)
+        if when == "before":
+            other.add(5, "winning fox")
+            publish(entry)
+        else:
+            publish({**entry, "part": entry["part"]})
+            other.add(5, "winning fox")
+
+    monkeypatch.setattr(index.store, "publish", late)
+    calls = {"add": lambda: index.add(9, "losing fox"), "remove": lambda: index.remove(1), "compact": index.compact}
+    ids = {1, 2, 3, 5}
+    if when == "before":
+        with pytest.raises(ExistsError, match="another writer"):
+            calls[loser]()
+    else:
+        calls[loser]()
+        ids = {"add": ids | {9}, "remove": ids - {1}, "compact": ids}[loser]
+    for i in (index, other, Engine(spark, str(tmp_path)).open_index("t")):
+        assert set(found(i.search("fox", fuzzymatch=False))) == ids and i.doc_count == len(ids)
+        assert i.documents().count() == len(ids) and i.token_count == 2 * len(ids)
+    index.vacuum(0)
+    assert set(found(other.search("fox"))) == ids
+    assert set(found(other.search("losing", fuzzymatch=False))) == ({9} & ids)
+
+
+@pytest.mark.parametrize("call", ["add", "remove", "compact"])
+def test_crash_at_each_step(engine, spark, monkeypatch, call):
+    """Nothing of a commit is seen before its log entry, wherever its writer stops."""
+    index = filled(engine, [(1, "red fox"), (2, "blue fox")])
+    index.add(3, "green fox")
+    before = found(index.search("fox"))
+    calls = {"add": lambda: index.add(9, "lost fox"), "remove": lambda: index.remove(1), "compact": index.compact}
+    steps = {"add": ["_checked", "_write_postings", "_write_terms"], "remove": ["_write_terms"], "compact": ["_write_postings", "_write_terms"]}[call]
+    for step in steps:
+        def fail(*a, **k):
+            raise RuntimeError("crash")
+
+        with monkeypatch.context() as m:
+            m.setattr(index, step, fail)
+            m.setattr("millstone.sources.index_store.Commit.discard", lambda *a: None)  # a crash cleans nothing up
+            with pytest.raises(RuntimeError):
+                calls[call]()
+        assert found(index.search("fox")) == before and index.doc_count == 3
+    calls[call]()
+    assert index.doc_count == {"add": 4, "remove": 2, "compact": 3}[call]
+    index.vacuum(0)
+    assert len(found(index.search("fox"))) == index.doc_count
+
+
+def test_only_one_creates_a_file(engine):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for i in range(5):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda n, i=i: engine.files.write_new(engine.files.path(f"x{i}.json"), str(n)), range(8)))
+        assert sum(won) == 1 and engine.files.read(engine.files.path(f"x{i}.json")) == str(won.index(True))
+
+
+def test_snapshots_outlive_compaction(engine):
+    index = filled(engine, [(1, "a b")])
+    index.add(2, "a")
+    old = index.store.snapshot()
+    index.compact()
+    index.remove(1)
+    assert index.store.docs(old).count() == 2 and index.doc_count == 1
+    assert [c["kind"] for c in index.store.snapshot().commits] == ["compact", "remove"]
+    index.compact()
+    index.vacuum(0)
+    assert len(index.store.files.names(index.store.files.path("log"))) == 2  # the last entry and the pointer to it
+    assert set(found(index.search("a"))) == {2}
+
+
+def test_skewed_postings_spread(engine, spark, monkeypatch):
+    index = engine.create_index("s", {"filters": [], "tokenizer": "simple"})
+    monkeypatch.setattr(index, "spark", spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.add_documents(spark.range(1, 4001).selectExpr("id as doc_id", "concat('the x', id % 7) as text"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    entry = index.store.snapshot().commits[0]
+    sizes = [r[0] for r in spark.read.parquet(index.store.path("postings", entry)).groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 4000
+
+
+def test_stopword_files_and_filter_modules(spark, tmp_path):
+    (tmp_path / "filters" / "stopwords").mkdir(parents=True)
+    (tmp_path / "filters" / "stopwords" / "en").write_text("cat\n\ndog\n")
+    folder = tmp_path / "modules"
+    folder.mkdir()
+    (folder / "twice.py").write_text("def create(params):\n    return [params['lang']]\n\n\ndef filter(context, token):\n    return token * 2 + context[0]\n\n\ndef destroy(context):\n    context.append('gone')\n")
+    e = Engine(spark, str(tmp_path), filter_dir=str(folder))
+    index = filled(e, [(1, "the cat"), (2, "a dog")], filters=["stopwords", "twice"])
+    assert {r["term"] for r in index.terms().collect()} == {"thetheen", "aaen"}
+    assert set(found(index.search("the"))) == {1} and found(index.search("cat")) == {}
+    context = index.pipeline.filters[1].context
+    e.close()
+    e.close()
+    assert context == ["en", "gone"]
+
+
+def test_folder_and_command_line(engine, spark, tmp_path, capsys):
+    from millstone.__main__ import main
+    from millstone.sources.files import read_folder
+
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    for name, text in (("a.txt", "red fox\nruns"), ("b.txt", "blue fox"), ("c.txt", "green")):
+        (folder / name).write_text(text)
+    rows = {r["path"]: (r["doc_id"], r["text"]) for r in read_folder(spark, str(folder)).collect()}
+    assert set(rows) == {"a.txt", "b.txt", "c.txt"} and rows["a.txt"][1] == "red fox\nruns" and min(i for i, _ in rows.values()) > 0
+    base = ["-b", str(tmp_path), "-i", "cli"]
+    main([*base, "-a", "-p", str(folder), "-s", "fox"])
+    assert f'"doc_id":{rows["a.txt"][0]}' in (out := capsys.readouterr().out) and '"count":2' in out and "indexing:" in out
+    main([*base, "-d", "7", "-p", str(folder / "c.txt"), "-s", "green"])
+    assert '"count":2' in capsys.readouterr().out
+    main([*base, "-r", "-d", "7", "-s", "green"])
+    assert '"count":1' in capsys.readouterr().out
 
 
 def test_streaming(engine, spark, tmp_path):

@@ -68,9 +68,9 @@ def test_fuzzy(spark):
     words = "the quick brown fox jumped over lazy dog".split()
     terms = spark.createDataFrame([(w, 1) for w in words] + [("gone", 0), ("thee", 1), ("tea", 1)], "term string, total long")
     pairs = {"qvick": "quick", "brawn": "brown", "jumps": "jumped", "llazy": "lazy", "gome": None, "zzzzzz": None}
-    values = spark.createDataFrame([(v,) for v in pairs], "value string")
-    found = {r["value"]: r["term"] for r in best(candidates(values, terms)).collect()}
+    found = {r["value"]: r["term"] for r in best(candidates(list(pairs), terms)).collect()}
+    assert candidates([], terms).collect() == []
     assert found == {k: v for k, v in pairs.items() if v}
-    tie = {r["term"] for r in candidates(spark.createDataFrame([("thea",)], "value string"), terms).collect()}
+    tie = {r["term"] for r in candidates(["thea"], terms).collect()}
     assert tie == {"the", "thee", "tea"}
-    assert best(candidates(spark.createDataFrame([("thea",)], "value string"), terms)).first()["term"] == "tea"
+    assert best(candidates(["thea"], terms)).first()["term"] == "tea"
