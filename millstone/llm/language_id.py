@@ -2,16 +2,19 @@
 
 Filters of several widths slide over the bytes of a window, each keeps its largest response (max
 pooling), and a softmax layer turns the pooled responses into language probabilities. The network is
-trained here, in numpy, on the ``lang`` labels of at most ``TRAIN_DOCS`` documents (chosen by a hash of
-doc_id) with at most ``TRAIN_WINDOWS`` windows of each. A document is classified by all of its
-consecutive ``WINDOW``-byte windows; its probabilities are the byte-weighted mean over them.
+trained here, in numpy, on the ``lang`` labels of at most ``TRAIN_DOCS`` documents (those of the smallest
+hashes of doc_id and text), on all of their windows; the epochs are as many as make about ``TRAIN_STEPS``
+windows. A document is classified by all of its consecutive ``WINDOW``-byte windows; its probabilities are
+the byte-weighted mean over them.
 
 Inference looks up, for every pair of neighbouring bytes, the summed contribution of both filter taps,
 so a width-4 filter costs two table rows a position.
 
 Defined cases: a null or blank text has no language (lang null, confidence 0, accepted false); a null
 doc_id is classified like any other and kept null; rows with a null lang are not trained on; without a
-labelled row every lang is null; repeated rows are classified each; other columns are ignored.
+labelled row every lang is null; repeated rows are classified each, and of rows with equal doc_id and text
+one is trained on; equal probabilities go to the language that sorts first; a very long text is classified
+by all of its windows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from millstone.llm import textcore as tc
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-TRAIN_DOCS = 2000
-TRAIN_WINDOWS = 3
+TRAIN_DOCS = 1200
+TRAIN_STEPS = 40_000
 MIN_CONFIDENCE = 0.5
 BATCH = 128
 RESULT = "doc_id long, lang string, confidence double, n_windows long, accepted boolean"
@@ -60,11 +63,18 @@ def windows(data: np.ndarray, row_off: np.ndarray, size: int = WINDOW) -> tuple[
     return out, row, held
 
 
-def labelled_sample(docs: DataFrame, columns: list[str], limit: int) -> list:
-    """About ``limit`` rows at most (never over 1.2 times that), chosen by a hash of doc_id."""
-    n = docs.count()
-    part = docs if n <= limit else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * limit / n))
-    return part.select(*columns).limit(int(limit * 1.2)).collect()
+def sample_rows(rows: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """The ``limit`` different rows of the smallest hashes of ``columns``.
+
+    A threshold on the hash, from the number of different rows, leaves little more than that many to sort,
+    so no task and no driver sees more; equal rows are one, however many there are.
+    """
+    h = F.xxhash64(*columns)
+    n = rows.select(F.approx_count_distinct(h)).first()[0]
+    found = rows.select(*columns, h.alias("__hash"))
+    if n > 1.2 * limit:
+        found = found.where(F.shiftrightunsigned("__hash", 11) < int(2**53 * 1.2 * limit / n))
+    return found.dropDuplicates(["__hash"]).orderBy("__hash").limit(limit).drop("__hash")
 
 
 def _forward(model: Model, x: np.ndarray):
@@ -81,7 +91,7 @@ def _forward(model: Model, x: np.ndarray):
     return np.maximum(h, 0), arg
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6) -> Model | None:
+def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int | None = None) -> Model | None:
     """Adam on mini-batches of windows; None without labels."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
@@ -92,16 +102,15 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6) -
         raw = np.frombuffer(text.encode(), np.uint8)
         if len(raw):
             x, _, _ = windows(raw, np.array([0, len(raw)]))
-            pick = rng.permutation(len(x))[:TRAIN_WINDOWS]
-            xs.append(x[pick])
-            ys += [langs.index(label)] * len(pick)
+            xs.append(x)
+            ys += [langs.index(label)] * len(x)
     m = Model(langs, {w: rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}, np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
     if not xs:
         return m
     x, y = np.concatenate(xs), np.array(ys)
     params = [*m.taps.values(), m.bias, m.dense, m.dense_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(epochs or max(1, min(6, TRAIN_STEPS // len(x)))):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), 64):
             b, t = x[order[lo : lo + 64]], y[order[lo : lo + 64]]
@@ -187,8 +196,8 @@ def classify(arr: pa.Array, model: Model | None) -> tuple[list[str | None], np.n
 
 
 def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:
-    rows = labelled_sample(docs.where("lang is not null and text is not null"), ["doc_id", "text", "lang"], limit)
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
+    rows = sample_rows(docs.where("lang is not null and text is not null"), ["doc_id", "text", "lang"], limit).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"], r["lang"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -227,12 +236,14 @@ def _filter(model: Model | None, threshold: float):
 def keep_identified(docs: DataFrame, threshold: float = MIN_CONFIDENCE) -> DataFrame:
     """``docs`` without those whose language the network can't tell; all columns stay as they are.
 
-    Without a labelled row nothing can be told and every document stays.
+    Defined cases: null, empty and blank texts go, as their language can't be told, and so do unidentified
+    texts; rows with a null doc_id are judged like any other; repeated rows are judged each; without a
+    labelled row nothing can be told and every document stays; an empty table stays empty.
     """
     model = fit(docs)
     if model is None:
         return docs
-    return docs.mapInArrow(_filter(model, threshold), docs.schema)
+    return tc.map_batches(docs, _filter(model, threshold))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,15 @@ sum, over the tokens whose training frequency differs by label, of their vectors
 difference, and by its length. *Network.* One hidden layer and two outputs: good quality, and toxic.
 Each output is calibrated with a temperature fitted on a part of the sample that training leaves out.
 
-Vectors and network are fitted on at most ``TRAIN_DOCS`` labelled documents, chosen by a hash of doc_id.
+Vectors and network are fitted on at most ``TRAIN_DOCS`` labelled documents, those whose labels and then
+texts have the smallest hashes.
 Every document is then scored over its whole text.
 
 Defined cases: a null or blank text scores 0 for both and is not kept; a null doc_id is kept null;
-labels without a document, or null labels, are not trained on, and of repeated labels of a document each
-row counts; without labels both scores are null and keep is true; an empty table gives no rows; other
-columns are ignored.
+labels without a document, or null labels, are not trained on; equal label rows count once, and different
+labels of a document each; of rows with equal doc_id and text one is trained on, and each is scored; a very
+long text is scored whole; a probability equal to the threshold is on its upper side; without labels both
+scores are null and keep is true; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millstone.llm import textcore as tc
+from millstone.llm.language_id import sample_rows
 from millstone.llm.secret_scan import Tokens, _CLASS
 
 TRAIN_DOCS = 3000
@@ -188,13 +191,12 @@ def score(arr: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:
-    """A model of at most 1.2 * ``limit`` labelled documents; the join broadcasts just their labels."""
-    given = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    n = given.count()
-    if n > limit:
-        given = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * limit / n)).limit(int(limit * 1.2))
+    """A model of at most ``limit`` labelled documents; the join broadcasts just that many labels."""
+    given = sample_rows(labels.where("doc_id is not null and quality is not null and toxic is not null"), ["doc_id", "quality", "toxic"], limit)
     part = given.select(F.col("doc_id").alias("labelled"), "quality", "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(part), F.col("doc_id") == F.col("labelled")).where("text is not null").select("doc_id", "text", "quality", "toxic").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(part), F.col("doc_id") == F.col("labelled")).where("text is not null").drop("labelled")
+    order = F.xxhash64("doc_id", "text", "quality", "toxic")
+    rows = found.withColumn("__hash", order).dropDuplicates(["__hash"]).orderBy("__hash").limit(limit).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["quality"], r["toxic"]))
     return train([r["text"] for r in rows], np.array([[r["quality"], r["toxic"]] for r in rows], float).reshape(-1, 2))
 

@@ -3,8 +3,9 @@
 Tokens (runs of letters and digits, or of punctuation) are tagged O, B (secret begins) or I (inside).
 Features are the token's shape, its length and mix of character classes, the words and shapes around it,
 and features of the whole document (density of digits and punctuation). Weights are trained here by
-maximum likelihood (forward-backward, Adam) on at most ``TRAIN_DOCS`` documents, chosen by a hash of
-doc_id: text of the corpus, with credentials that follow an assignment to a credential word, or that the
+maximum likelihood (forward-backward, Adam) on ``SNIPPETS`` places of each of at most ``TRAIN_DOCS``
+documents (those of the smallest hashes of doc_id and text), and on every assignment to a credential word
+in them: text of the corpus, with credentials that follow an assignment to a credential word, or that the
 generator below plants in known formats, as positives, and numbers, addresses, hashes without a
 credential word and ordinary words as negatives.
 
@@ -13,8 +14,9 @@ could repay is O on every best path, so sequences are cut there and only the str
 decoded; the result is that of decoding the whole text.
 
 Defined cases: a null, empty or blank text has no secret; a null doc_id is kept null in the result;
-repeated rows are scanned each; an empty table gives no rows; other columns are ignored. Ties between
-paths go to O before B before I.
+repeated rows are scanned each; a very long text is scanned whole, and a very long token is a token like
+any other; an empty table gives no rows; other columns are ignored. Ties between paths go to O before B
+before I.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millstone.llm import textcore as tc
-from millstone.llm.language_id import labelled_sample
+from millstone.llm.language_id import sample_rows
 
 TRAIN_DOCS = 300
+SNIPPETS = 3
 MASK = "[SECRET]"
 RESULT = "doc_id long, start_char long, n_chars long, n_tokens long, score double"
 LABELS = 3  # O, B, I
@@ -105,19 +108,14 @@ def features(t: Tokens) -> np.ndarray:
     shape = (seen.astype(np.int64) & 127) * 16 + bucket
     words = tc.Words.__new__(tc.Words)
     words.data, words.row_off, words.start, words.end, words.first = t.data, t.row_off, t.start, t.end, t.first
-    # words of up to 12 bytes are told apart; longer ones never name a credential
-    short = np.flatnonzero(size <= 12)
-    word = np.full(n, -1, np.int64)
-    if len(short):
-        words.start, words.end = t.start[short], t.end[short]
-        word[short] = (words.hashes(fold=True) >> np.uint64(64 - 14)).astype(np.int64)
+    word = (words.hashes(fold=True) >> np.uint64(64 - 14)).astype(np.int64)
     row = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
     out = np.full((n, len(_OFFSETS) + 6), -1, np.int32)
     for c, o in enumerate(_OFFSETS):
         a, b = max(0, -o), n - max(0, o)
         if b <= a:
             continue
-        same = (row[a:b] == row[a + o : b + o]) & (word[a + o : b + o] >= 0)
+        same = row[a:b] == row[a + o : b + o]
         out[a:b, c] = np.where(same, BASES[0] + c * WORD_BUCKETS + word[a + o : b + o], -1)
     for c, o in enumerate((-1, 0, 1)):
         a, b = max(0, -o), n - max(0, o)
@@ -191,8 +189,8 @@ def viterbi(e: np.ndarray, first: np.ndarray, m: Model) -> np.ndarray:
 
 # ---- training ---------------------------------------------------------------------------------------
 
-_NAMES = ["token", "api_key", "apikey", "secret", "secret_key", "password", "passwd", "pwd", "access_key", "auth_token", "client_secret", "private_key", "key", "credential"]
-_GIVEN = re.compile(r"(?i)(?:\b|_)(?:token|api_?key|secret|secret_key|access_key|password|passwd|pwd|private_key|credential)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_\-+/.=]{12,})")
+_NAMES = ["token", "api_key", "apikey", "secret", "secret_key", "password", "passwd", "pwd", "access_key", "auth_token", "client_secret", "private_key", "key", "credential", "secretAccessKey", "aws_secret_access_key", "authenticationToken", "clientSecretKey", "authorization", "subscriptionKey", "connectionPassword"]
+_GIVEN = re.compile(r"(?i)(?:\b|_)(?:token|api_?key|secret|secret_key|access_key|password|passwd|pwd|private_key|credential|secretaccesskey|authenticationtoken|clientsecretkey|authorization|subscriptionkey|connectionpassword)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_\-+/.=]{12,})")
 
 
 def _draw(rng: np.random.Generator) -> str:
@@ -234,7 +232,7 @@ def examples(texts: list[str], seed: int = 11) -> list[tuple[str, list[tuple[int
         words = text.split()
         if len(words) < 8:
             continue
-        for _ in range(3):
+        for _ in range(SNIPPETS):
             at = int(rng.integers(0, len(words)))
             left, right = " ".join(words[max(0, at - 14) : at]), " ".join(words[at : at + 10])
             if _GIVEN.search(left + " " + right):
@@ -326,7 +324,7 @@ def train(texts: list[str], steps: int = 80, l2: float = 2e-5) -> Model:
 
 
 def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    rows = labelled_sample(docs.where("text is not null"), ["doc_id", "text"], limit)
+    rows = sample_rows(docs.where("text is not null"), ["doc_id", "text"], limit).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     return train([r["text"] for r in rows])
 
@@ -389,23 +387,30 @@ def _mask_batches(model: Model):
                 row, a, b, _, _ = scan(part, model)
                 if len(row):
                     data, off = tc.flat(part)
-                    texts, sizes = piece.column(i).to_pylist(), piece.column(j).to_pylist()
+                    texts = piece.column(i).to_pylist()
+                    sizes = piece.column(j).to_pylist() if j >= 0 else [None] * len(texts)
                     for r in np.unique(row).tolist():
-                        raw, done, out = data.tobytes() if len(row) == 0 else data[off[r] : off[r + 1]].tobytes(), 0, []
+                        raw, done, out = data[off[r] : off[r + 1]].tobytes(), 0, []
                         for x, y in zip(a[row == r] - off[r], b[row == r] - off[r]):
                             out += [raw[done:x], MASK.encode()]
                             done = int(y)
                         texts[r] = b"".join([*out, raw[done:]]).decode()
                         sizes[r] = len(texts[r])
-                    piece = piece.set_column(i, piece.schema.field(i), pa.array(texts, pa.string())).set_column(j, piece.schema.field(j), pa.array(sizes, piece.schema.field(j).type))
+                    piece = piece.set_column(i, piece.schema.field(i), pa.array(texts, pa.string()))
+                    if j >= 0:
+                        piece = piece.set_column(j, piece.schema.field(j), pa.array(sizes, piece.schema.field(j).type))
                 yield piece
 
     return fn
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced by ``[SECRET]``; no document goes, n_chars is renewed."""
-    return docs.mapInArrow(_mask_batches(fit(docs)), docs.schema)
+    """``docs`` with every secret replaced by ``[SECRET]``; no document goes, n_chars is renewed where there is one.
+
+    Defined cases: null, empty and blank texts stay as they are, as does every text without a secret; rows
+    with a null doc_id are masked like any other; repeated rows are masked each; an empty table stays empty.
+    """
+    return tc.map_batches(docs, _mask_batches(fit(docs)))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,19 @@ significant digit first and drops a suffix as soon as its group has one member:
    share their gram, so a run of them travels as one row.
 2. *Passes inside a partition*, with two further digits, each a hash of one half of the window.
    Groups are split by each digit in turn and singletons leave after every pass.
+3. *Hot digits.* Grams are counted first. One that more than ``HOT`` runs share (a license line, say) is
+   not gathered in a task: its suffixes are grouped by all of their digits at once, in an aggregation that
+   begins in the map tasks and gives each group's size and first member, and are then joined with the
+   groups of two or more. At most ``HOT_GRAMS`` grams, the most frequent, are listed as hot; the others take
+   the way of step 2, which gives the same result.
 
 No suffix is skipped and there is no limit on the size of a group. The first pass removes most of a
 natural corpus, since grams that occur once leave before anything is sorted.
 
 Defined cases: a null or short text (fewer than ``depth`` words) has no window and no rows; rows with
 a null doc_id take part and sort after the others; repeated rows are occurrences like any other; the
-first occurrence in the order (doc_id, position in the table, word) is the one marked ``first``; an
-empty table gives no rows; other columns are ignored.
+first occurrence in the order (doc_id, position in the table, word) is the one marked ``first``; a very
+long text is taken whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,10 @@ from millstone.llm import textcore as tc
 
 DEPTH = 50
 ANCHOR = 8
+HOT = 20_000
+HOT_GRAMS = 1 << 20
 RUNS = "anchor long, row long, doc_id long, start int, off int, high array<int>, low array<int>"
+WINDOWS = "anchor long, off int, high int, low int, row long, doc_id long, start int"
 SPANS = "row long, doc_id long, start_word long, end_word long, first boolean"
 
 
@@ -50,7 +58,8 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return pos
 
 
-def _runs(arr: pa.Array, rows: np.ndarray, docs: pa.Array, depth: int, anchor: int) -> pa.RecordBatch | None:
+def _runs(arr: pa.Array, rows: np.ndarray, docs: pa.Array, depth: int, anchor: int, hot: np.ndarray) -> pa.RecordBatch | None:
+    """Runs of suffixes that share their gram, which isn't hot."""
     words = tc.words_of(arr, ~tc.SPACE)
     n = np.diff(words.first)
     if not len(n) or n.max() < depth:
@@ -69,6 +78,13 @@ def _runs(arr: pa.Array, rows: np.ndarray, docs: pa.Array, depth: int, anchor: i
     new = np.ones(len(starts), bool)
     new[1:] = (pick[1:] != pick[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
+    if len(hot):
+        cold = ~np.isin(tc.signed(grams[pick[at]]), hot)
+        stay = np.repeat(cold, np.diff(np.append(at, len(starts))))
+        starts, pick, high, low, new = starts[stay], pick[stay], high[stay], low[stay], new[stay]
+        at = np.flatnonzero(new)
+        if not len(at):
+            return None
     bounds = np.append(at, len(starts))
     row = row_of[starts[at]]
     return pa.RecordBatch.from_arrays(
@@ -85,14 +101,38 @@ def _runs(arr: pa.Array, rows: np.ndarray, docs: pa.Array, depth: int, anchor: i
     )
 
 
-def _map_runs(depth: int, anchor: int):
+def _single(arr: pa.Array, rows: np.ndarray, docs: pa.Array, depth: int, anchor: int, hot: np.ndarray) -> pa.RecordBatch | None:
+    """Every suffix with a hot gram, by itself."""
+    t = _runs(arr, rows, docs, depth, anchor, np.zeros(0, np.int64))
+    if t is None:
+        return None
+    t = t.filter(pa.array(np.isin(t.column("anchor").to_numpy(), hot)))
+    high, bounds = _lists(t.column("high"))
+    low, _ = _lists(t.column("low"))
+    run = np.repeat(np.arange(t.num_rows), np.diff(bounds))
+    step = (np.arange(len(run)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.int32)
+    take = lambda c: t.column(c).take(pa.array(run))
+    start, off = t.column("start").to_numpy()[run] + step, t.column("off").to_numpy()[run] - step
+    return pa.RecordBatch.from_arrays([take("anchor"), pa.array(off), pa.array(high), pa.array(low), take("row"), take("doc_id"), pa.array(start)], names=["anchor", "off", "high", "low", "row", "doc_id", "start"])
+
+
+def _anchors(arr: pa.Array, rows: np.ndarray, docs: pa.Array, depth: int, anchor: int, hot: np.ndarray) -> pa.RecordBatch | None:
+    """The gram of every run, counted in the slice."""
+    t = _runs(arr, rows, docs, depth, anchor, hot)
+    if t is None:
+        return None
+    gram, n = np.unique(t.column("anchor").to_numpy(), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["anchor", "n"])
+
+
+def _map(make, depth: int, anchor: int, hot: np.ndarray):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arr = tc.text_array(batch.column("text"))
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             docs = batch.column("doc_id")
             for lo, hi in tc.slices(arr):
-                out = _runs(arr[lo:hi], rows[lo:hi], docs[lo:hi], depth, anchor)
+                out = make(arr[lo:hi], rows[lo:hi], docs[lo:hi], depth, anchor, hot)
                 if out is not None:
                     yield out
 
@@ -190,20 +230,39 @@ def _reduce_runs(depth: int):
     return fn
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): row tells rows apart whose doc_id is null or repeated."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def numbered(docs: DataFrame, work: tc.Scratch) -> DataFrame:
+    """(row, doc_id, text) as a table: row tells rows apart whose doc_id is null or repeated."""
+    return work.keep(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "rows")
+
+
+def hot_grams(rows: DataFrame, depth: int, anchor: int) -> np.ndarray:
+    """Grams of more than HOT runs, at most HOT_GRAMS of them, so 8 MB."""
+    counts = rows.mapInArrow(_map(_anchors, depth, anchor, np.zeros(0, np.int64)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "anchor").limit(HOT_GRAMS).select("anchor").collect()
+    return np.array(sorted(r[0] for r in found), np.int64)
 
 
-def raw_spans(rows: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+def _hot_spans(rows: DataFrame, depth: int, anchor: int, hot: np.ndarray, work: tc.Scratch) -> DataFrame:
+    digits = ["anchor", "off", "high", "low"]
+    windows = work.keep(rows.mapInArrow(_map(_single, depth, anchor, hot), WINDOWS), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
+    # a table, so that the join can split a group of many equal windows
+    groups = work.keep(windows.groupBy(*digits).agg(F.count("*").alias("n"), F.min(place).alias("lead")).where("n > 1").select(*digits, F.col("lead.row").alias("lead_row"), F.col("lead.start").alias("lead_start")), "groups")
+    found = windows.join(groups, digits)
+    return found.selectExpr("row", "doc_id", "cast(start as long) start_word", f"cast(start + {depth} as long) end_word", "row = lead_row and start = lead_start as first")
+
+
+def raw_spans(rows: DataFrame, work: tc.Scratch, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
     """Repeated stretches, not yet merged where they overlap, of a ``numbered`` table."""
     if depth <= anchor:
         anchor = max(1, depth // 2)
-    runs = rows.mapInArrow(_map_runs(depth, anchor), RUNS)
-    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_reduce_runs(depth), SPANS)
+    hot = hot_grams(rows, depth, anchor)
+    runs = rows.mapInArrow(_map(_runs, depth, anchor, hot), RUNS)
+    spans = runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_reduce_runs(depth), SPANS)
+    return spans.union(_hot_spans(rows, depth, anchor, hot, work)) if len(hot) else spans
 
 
-def repeated_spans(rows: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(rows: DataFrame, work: tc.Scratch, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
     """Maximal stretches of words covered by repeated windows, one row a stretch.
 
     ``first`` stretches hold the first occurrence of each of their windows; the others are later
@@ -213,7 +272,7 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
     before = F.max("end_word").over(w.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_word") <= F.col("before"), 0).otherwise(1)).over(w)
     return (
-        raw_spans(rows, depth, anchor)
+        raw_spans(rows, work, depth, anchor)
         .withColumn("before", before)
         .withColumn("island", island)
         .groupBy("row", "doc_id", "first", "island")
@@ -224,7 +283,8 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
 
 def suffix_dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, start_word, n_words, first) of every repeated stretch of ``docs``."""
-    return repeated_spans(numbered(docs), depth).select("doc_id", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first")
+    work = tc.Scratch(docs.sparkSession, "suffixes")
+    return repeated_spans(numbered(docs, work), work, depth).select("doc_id", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +293,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # group 0 is a word with the white space before it, so what stays keeps its own layout
     word = re.compile(r"[\t-\r ]*[^\t-\r ]+")
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("__spans").to_pylist()
-        out = []
+        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        out, changed = [], []
         for text, cut in zip(texts, spans):
-            if not cut or text is None:
+            changed.append(bool(cut) and text is not None)
+            if not changed[-1]:
                 out.append(text)
                 continue
             pieces = [m.group() for m in word.finditer(text)]
@@ -244,29 +305,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in cut:
                 (kept if s["first"] else gone)[s["start_word"] : s["end_word"]] = True
             out.append("".join(p for p, g in zip(pieces, gone & ~kept) if not g).lstrip("\t\n\v\f\r "))
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["__spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(changed, pa.bool_()), batch.column("rest")], names=["text", "changed", "rest"])
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``docs`` without the later copies of repeated passages; columns stay, n_chars is renewed.
+    """``docs`` without the later copies of repeated passages; columns stay, n_chars is renewed where a text is cut.
 
-    A word goes if a later copy covers it and no first occurrence does. A document of which nothing
-    is left goes; one that was empty or null from the start stays as it is.
+    A word goes if a later copy covers it and no first occurrence does. Defined cases: a document of which
+    nothing is left goes; null texts, and texts that were empty or blank from the start, stay as they are; rows
+    with a null doc_id take part, after the others; of repeated rows the first keeps its text; an empty table
+    stays empty; columns may have any names.
     """
     names = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    spans = repeated_spans(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), depth)
-    cut = (
-        spans.groupBy(F.col("row").alias("__row"))
-        .agg(F.collect_list(F.struct("start_word", "end_word", "first")).alias("__spans"), F.bool_or(~F.col("first")).alias("copies"))
-        .where("copies")
-        .drop("copies")
-    )
-    both = rows.join(cut, "__row", "left")
-    schema = both.drop("__spans").schema
-    out = both.mapInArrow(_cut, schema).where("text is null or text != '' or n_chars is null or n_chars = 0")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    work = tc.Scratch(docs.sparkSession, "repeats")
+    # the other columns travel as one, under names of their own
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    rest = F.struct(F.lit(0).alias("none"), *[at[c] for c in names if c != "text"])
+    rows = docs.toDF(*at.values()).select(F.monotonically_increasing_id().alias("row"), F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"), rest.alias("rest"))
+    rows = work.keep(rows, "rows")
+    spans = repeated_spans(rows.select("row", "doc_id", "text"), work, depth)
+    cut = spans.groupBy("row").agg(F.collect_list(F.struct("start_word", "end_word", "first")).alias("spans"), F.bool_or(~F.col("first")).alias("copies")).where("copies").drop("copies")
+    both = rows.select("row", "text", "rest").join(cut, "row", "left")
+    schema = both.select("text", F.lit(True).alias("changed"), "rest").schema
+    out = both.mapInArrow(_cut, schema).where("not changed or text != ''")
+    column = {c: F.col("rest").getField(f"c{i}") for i, c in enumerate(names)} | {"text": F.col("text")}
+    if "n_chars" in names:
+        column["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(column["n_chars"])
+    return out.select(*[column[c].alias(c) for c in names])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,5 +209,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).keep(df, "rows")
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` with its batches mapped to batches of the same columns, whatever the names of these."""
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches):
+        named = (pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        for out in fn(named):
+            yield pa.RecordBatch.from_arrays(out.columns, names=[f"c{i}" for i in range(len(names))])
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

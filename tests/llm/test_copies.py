@@ -47,6 +47,18 @@ def test_repeats_are_exactly_the_repeated_windows(make, depth):
     assert got == brute_windows(texts, depth)
 
 
+@pytest.mark.parametrize("hot", [3, 12])
+def test_repeats_with_hot_grams(make, monkeypatch, hot):
+    """Grams of more than a few runs take another way, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    license, other = prose(30, 1), prose(45, 2)
+    texts = [" ".join([*prose(i % 7, i), *license, *(other if i % 3 else []), *prose(20, 100 + i)]) for i in range(40)] + [" ".join(prose(80, 9))] * 3
+    got = set()
+    for r in suffix_dedup.suffix_dedup(make(texts), 20).collect():
+        got |= {(r["doc_id"], q, r["first"]) for q in range(r["start_word"], r["start_word"] + r["n_words"])}
+    assert got == brute_windows(texts, 20)
+
+
 def test_remove_repeats_keeps_one_copy(make):
     p = " ".join(prose(60, 5))
     a, b = " ".join(prose(30, 6)), " ".join(prose(30, 7))
