@@ -476,6 +476,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> Da
         "reps",
     )
     entries = reps.selectExpr("set_id", "inline(concat(transform(own, k -> struct(k as key, true as owned)), transform(after, k -> struct(k as key, false as owned))))")
+    members = work.keep(every.select("doc_id", "hash", "set_id"), "members")
+    work.drop("every")
     # a table, so that the next join can split a key that many sets have
     keys = work.keep(entries.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other"), F.bool_or("owned").alias("used")).where("hub < other and used").select("key", "hub"), "keys")
     hubs = entries.select("key", "set_id").join(keys, "key").groupBy("set_id").agg(F.collect_set("hub").alias("hubs"))
@@ -496,10 +498,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> Da
     )
     one = work.keep(one, "classes")
     work.drop("reps", "found")
-    rows = every.select("doc_id", "hash", "set_id")
-    return (
-        rows.where("set_id is not null").join(one, "set_id").select("doc_id", "hash", "class_id", "n_links").union(rows.where("set_id is null").select("doc_id", "hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
-    )
+    alone = members.where("set_id is null").select("doc_id", "hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return members.where("set_id is not null").join(one, "set_id").select("doc_id", "hash", "class_id", "n_links").union(alone)
 
 
 def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:

@@ -325,6 +325,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     rows = work.keep(rows, "rows")
     spans = repeated_spans(rows.select("row", "doc_id", "text"), work, depth)
     cut = spans.groupBy("row").agg(F.collect_list(F.struct("start_word", "end_word", "first")).alias("spans"), F.bool_or(~F.col("first")).alias("copies")).where("copies").drop("copies")
+    cut = work.keep(cut, "cut")  # so that the files of the sort go before the texts are joined
+    work.drop("windows", "groups")
     both = rows.select("row", "text", "rest").join(cut, "row", "left")
     schema = both.select("text", F.lit(True).alias("changed"), "rest").schema
     out = both.mapInArrow(_cut, schema).where("not changed or text != ''")
