@@ -51,12 +51,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build(spark: SparkSession, sf_dir: str, store: bool = False, **params) -> Index:
-    """A new index of all documents, in a folder of its own."""
+    """A new index of all documents that the filters leave a token of, in a folder of its own."""
     base = f"{shared_root(spark)}/search-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     index = Engine(spark, base).create_index("documents", {"tokenizer": "simple", "filters": []} | params)
-    index.add_documents(docs(spark, sf_dir), store)
+    index.add_documents(docs(spark, sf_dir), store, skip_empty=True)
     return index
 
 
@@ -215,7 +215,7 @@ def _toxic(spark, sf_dir):
 def remove_docs(spark, sf_dir):
     """Scores after removing all toxic documents: statistics are those of what is left."""
     index = build(spark, sf_dir)
-    index.remove_documents(_toxic(spark, sf_dir))
+    index.remove_documents(_toxic(spark, sf_dir).join(index.documents(), "doc_id", "left_semi"))
     return _scores(index.search("the OR idiot", limit=ALL, fuzzymatch=False))
 
 
@@ -223,8 +223,8 @@ def remove_docs(spark, sf_dir):
 def readd_docs(spark, sf_dir):
     """Removed, added again and compacted: as if nothing had happened."""
     index = build(spark, sf_dir)
-    index.remove_documents(_toxic(spark, sf_dir))
-    index.add_documents(_toxic(spark, sf_dir))
+    index.remove_documents(_toxic(spark, sf_dir).join(index.documents(), "doc_id", "left_semi"))
+    index.add_documents(_toxic(spark, sf_dir), skip_empty=True)
     index.compact()
     index.vacuum(0)
     return _scores(index.search("the OR idiot", limit=ALL, fuzzymatch=False))

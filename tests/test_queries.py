@@ -13,6 +13,24 @@ def test_against_sql(spark, duck, name):
         assert got.count() > 0
 
 
+@pytest.fixture(scope="module")
+def wordless(spark, tmp_path_factory):
+    """Tables with texts of which the stopword filter, or even the tokenizer, leaves nothing."""
+    folder = str(tmp_path_factory.mktemp("wordless"))
+    texts = ["That it.", "the idiot and the dog", "!!! ...", "", None, "an idiot", "the of and"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in (1, 2, 4))) for i in range(len(texts))], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stopword_filter", "remove_docs", "readd_docs"])
+def test_texts_without_a_token_are_left_out(spark, duck, wordless, name):
+    con = duck(SF)
+    for table in ("documents", "labels"):
+        con.execute(f"create or replace view {table} as select * from '{wordless}/{table}.parquet/*.parquet'")
+    same(queries.QUERIES[name](spark, wordless).toPandas(), con.sql(queries.ORACLE_SQL[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
