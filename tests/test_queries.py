@@ -23,7 +23,7 @@ def wordless(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["stopword_filter", "stopword_query", "remove_docs", "readd_docs"])
+@pytest.mark.parametrize("name", ["stopword_filter", "stopword_query", "stopword_query_empty", "remove_docs", "readd_docs"])
 def test_texts_without_a_token_are_left_out(spark, duck, wordless, name):
     con = duck(SF)
     for table in ("documents", "labels"):
