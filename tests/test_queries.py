@@ -31,6 +31,10 @@ def test_texts_without_a_token_are_left_out(spark, duck, wordless, name):
     same(queries.QUERIES[name](spark, wordless).toPandas(), con.sql(queries.ORACLE_SQL[name]).df())
 
 
+def test_stemmed_terms_without_a_token(spark, wordless):
+    assert {tuple(r) for r in queries.stemmed_terms(spark, wordless).collect()} == {("idiot", 2, 2), ("dog", 1, 1)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
