@@ -1,22 +1,19 @@
-"""N-gram Jaccard join through parity sketches.
+"""N-gram Jaccard join through rare shingles and parity sketches.
 
-A document is its set of ``n``-word shingles (ASCII case folded, punctuation ignored). Shingles are
-XOR-hashed into a sketch of ``SEGMENTS`` segments: changing one shingle changes one segment, so the number
-of segments in which two sketches differ is at most the size of the symmetric difference. Two sets of
-sizes a and b with Jaccard similarity of at least ``t`` differ in at most (1-t)/(1+t) * (a+b)
-shingles, hence enough segments must agree (pigeonhole).
+A document is its set of ``n``-word shingles (ASCII case folded, punctuation ignored). Of a set of size n, a
+set of Jaccard similarity ``t`` or more and of no larger size lacks at most n - t*n shingles, so among any
+n - t*n + 1 shingles of the set one is common (pigeonhole); if both take the first ones of one order, they
+have one of these in common. This holds for sets of all sizes: nothing is sampled or cut.
 
 * **Equal sets first.** Documents are aggregated by the identity of their set, partially in each map task,
-  and one representative of each set goes on. So exact copies travel once, however many there are.
+  and one representative of each set goes on.
+* **Rarest first.** The order is that of the number of documents that hold a shingle. Shingles go to
+  slices of the hash range, packed in buffers, to be counted there. Those of a single set, most of them,
+  are first in the order and stay there, as no other set can have them; so only what more than one set
+  has and is among the first comes back to the set. Shingles that are frequent in a sample of
+  ``SAMPLE`` documents don't go to the slices and are the last in the order, so no slice gets a large group.
 * **Size bands.** Band edges grow by 1/t, so the smaller set of a similar pair lies in the band of the
-  larger one or in the band below; every set is entered in its own band and in the next.
-* **Join keys.** A segment is kept sparsely, as the XOR of 64-bit codes of its shingles. Of its filled
-  segments a set enters only the first d+1 in one global order, d being its largest allowed difference;
-  by the prefix principle a similar pair that shares a segment shares a key. Where a set fills no more
-  than d segments, all of them could differ, so it enters each of its shingles as well. The order puts
-  segments with more text first, so short, common shingles hardly ever become keys.
-* **Large sets** enter a hash sample of about ``SKETCH`` shingles, the same for both sides, and d gets
-  ``SIGMAS`` standard deviations on top. Up to ``SKETCH`` shingles the search is complete.
+  larger one or in the band below; every set is entered in its own band and, by fewer shingles, in the next.
 * **Meetings.** The sets of a key meet at the key's smallest member. A meeting of more than ``BLOCK`` sets
   or ``BLOCK_SHINGLES`` shingles is cut into blocks, and each pair of blocks is a cell, a task's unit of
   work; so no task holds a large group. A pair that has several meetings counts in its largest one.
@@ -49,13 +46,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millstone.llm import textcore as tc
+from millstone.llm.language_id import sample_rows
+from millstone.llm.lexical_packing import _packed, _unpacked
 from millstone.llm.suffix_dedup import whole_groups
 
 NGRAM = 3
 THRESHOLD = 0.6
-SEGMENTS = 256
-SKETCH = 64
-SIGMAS = 3
+SLICE = 1 << 21  # shingles of a slice of the hash range
+SENT_BYTES = 8 << 20  # text whose shingles are sent together
+SAMPLE = 8192
+FREQUENT = 32  # documents of the sample
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
 SMALL = 24  # cells of up to this many sets are compared many at a time
@@ -74,33 +74,31 @@ def band_edges(t: float, largest: int = 1 << 31) -> np.ndarray:
 
 
 class Shingles:
-    """Distinct shingles of consecutive rows, sorted by row and hash."""
+    """Distinct shingles of consecutive rows, sorted by row and hash; ``size`` of a row, of which ``alone`` are no other set's and not listed."""
 
     def __init__(self, arr: pa.Array, n: int):
         words = tc.words_of(arr, tc.WORDCHAR)
         count = np.diff(words.first)
         h = words.hashes(fold=True)
-        size = words.lengths()
         rows = words.rows()
-        run = np.concatenate([[0], np.cumsum(size)])
         if len(h) >= n:
             at = np.flatnonzero(rows[: len(h) - n + 1] == rows[n - 1 :])
-            grams, weight, row = tc.window_hash(h, n)[at], (run[at + n] - run[at]), rows[at]
+            grams, row = tc.window_hash(h, n)[at], rows[at]
         else:
-            grams, weight, row = h[:0], size[:0], rows[:0]
+            grams, row = h[:0], rows[:0]
         short = np.flatnonzero((count > 0) & (count < n))
         if len(short):
-            extra = [(tc.window_hash(h[a:b], b - a)[0], run[b] - run[a]) for a, b in ((words.first[r], words.first[r + 1]) for r in short)]
-            grams = np.append(grams, np.array([x for x, _ in extra], np.uint64))
-            weight = np.append(weight, np.array([x for _, x in extra], np.int64))
+            extra = [tc.window_hash(h[a:b], b - a)[0] for a, b in ((words.first[r], words.first[r + 1]) for r in short)]
+            grams = np.append(grams, np.array(extra, np.uint64))
             row = np.append(row, short)
         order = np.lexsort((grams, row))
-        grams, weight, row = grams[order], weight[order], row[order]
+        grams, row = grams[order], row[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
-        self.grams, self.weight, self.row = grams[new], weight[new], row[new]
+        self.grams, self.row = grams[new], row[new]
         self.first = np.searchsorted(self.row, np.arange(len(count) + 1))
         self.size = np.diff(self.first)
+        self.rank, self.alone = np.zeros(len(self.row), np.uint16), np.zeros(len(count), np.int64)
 
     def set_ids(self) -> np.ndarray:
         """64-bit identity of each row's set; 0 for an empty set."""
@@ -111,45 +109,37 @@ class Shingles:
         return out
 
 
-def _allowed(n: np.ndarray, other: np.ndarray, t: float, rate: np.ndarray | float = 1.0) -> np.ndarray:
-    """Largest sampled difference of similar sets of these sizes."""
-    most = (1 - t) / (1 + t) * (n + other) * rate
-    return np.floor(most + SIGMAS * np.sqrt(most * (1 - rate)) + 1e-9).astype(np.int64)
-
-
-def _in_sample(grams: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    draw = tc.mix(grams + np.uint64(0x632BE59BD9B4E019))
-    return np.flatnonzero((rate >= 1) | ((draw >> np.uint64(11)).astype(np.float64) < rate * 2.0**53))
-
-
-def sketch_keys(s: Shingles, t: float, edges: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, offsets): what each set is entered by in its own band + ``step``, row after row."""
-    code = tc.mix(s.grams ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    band = np.searchsorted(edges, s.size) + step
-    top = edges[np.minimum(band, len(edges) - 1)]
-    rate = np.minimum(1.0, SKETCH / top)
-    allowed = _allowed(s.size, np.minimum(s.size / t, top), t, rate)
-    salt = band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    chosen = _in_sample(s.grams, rate[s.row])
-    c, owner = code[chosen], s.row[chosen]
-    group = owner * SEGMENTS + (c >> np.uint64(56)).astype(np.int64) % SEGMENTS
-    order = np.argsort(group, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0])) if len(order) else order
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(s.size) + 1, np.int64)
-    value, heavy = np.bitwise_xor.reduceat(c[order], at), np.add.reduceat(s.weight[chosen][order], at)
-    row, segment = group[order][at] // SEGMENTS, group[order][at] % SEGMENTS
-    key = tc.mix(tc.mix(value + segment.astype(np.uint64)) + salt[row])
-    order = np.lexsort((key, -heavy, row))
-    row, key = row[order], key[order]
-    filled = np.bincount(row, minlength=len(s.size))
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = rank <= allowed[row]
-    bare = (filled <= allowed)[owner]  # all segments of these sets could differ
-    key = np.concatenate([key[keep], tc.mix(c[bare] + salt[owner[bare]] + np.uint64(1))])
-    row = np.concatenate([row[keep], owner[bare]])
-    order = np.argsort(row, kind="stable")
-    return key[order], np.searchsorted(row[order], np.arange(len(s.size) + 1))
+class Shared:
+    """Like ``Shingles``, with the shingles of each set that others have as well, rarest first by ``rank``."""
+
+    def __init__(self, sets: np.ndarray, size: np.ndarray, owner: np.ndarray, grams: np.ndarray, rank: np.ndarray):
+        row = np.searchsorted(sets, owner)
+        order = np.lexsort((grams, rank, row))
+        grams, row, rank = grams[order], row[order], rank[order]
+        new = np.ones(len(row), bool)  # copies of a text send its shingles again
+        new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
+        self.grams, self.row, self.rank, self.size = grams[new], row[new], rank[new], size
+        self.first = np.searchsorted(self.row, np.arange(len(sets) + 1))
+        self.alone = size - np.diff(self.first)
+
+
+def _allowed(n: np.ndarray, other: np.ndarray, t: float) -> np.ndarray:
+    """Largest difference of similar sets of these sizes."""
+    return np.floor((1 - t) / (1 + t) * (n + other) + 1e-9).astype(np.int64)
+
+
+def sketch_keys(s: Shingles | Shared, t: float, edges: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, offsets): what each set is entered by in its own band + ``step``, row after row.
+
+    Its own band is where a set meets those that are no larger, the next one where it meets larger ones.
+    """
+    band = np.searchsorted(edges, s.size)
+    least = t * s.size if step == 0 else t / (1 + t) * (s.size + edges[np.minimum(band, len(edges) - 1)] + 1)  # common shingles
+    firsts = s.size - np.ceil(least - 1e-6).astype(np.int64) + 1 - s.alone
+    place = np.arange(len(s.row)) - s.first[s.row]
+    keep = np.flatnonzero(place < firsts[s.row])
+    salt = (band + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return tc.mix(s.grams[keep] + salt[s.row[keep]]), np.searchsorted(s.row[keep], np.arange(len(s.size) + 1))
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -209,19 +199,21 @@ class Sketches:
         return out
 
 
-SETS = "doc_id long, hash long, set_id long, n long, sketch binary, own array<long>, after array<long>"
+SETS = "doc_id long, hash long, set_id long, n long, sketch binary"
+SENT = "slice int, sets binary, grams binary"
+BACK = "bucket int, sets binary, grams binary, rank binary"
+KEYS = "set_id long, own array<long>, after array<long>"
+GRAM = np.uint64((1 << 48) - 1)
 
 
-def _map_sets(n: int, t: float):
+def _map_sets(n: int):
     """The set of each document; null where it is empty."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = band_edges(t)
         for batch in batches:
             arr = tc.text_array(batch.column("text"))
             for lo, hi in tc.slices(arr):
                 s = Shingles(arr[lo:hi], n)
-                keys = [sketch_keys(s, t, edges, step) for step in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[lo:hi],
@@ -229,14 +221,134 @@ def _map_sets(n: int, t: float):
                         pa.array(tc.signed(s.set_ids()), mask=s.size == 0),
                         pa.array(s.size.astype(np.int64)),
                         Sketches.of(s.row, s.grams, s.size).column(),
-                        *[tc.list_array(tc.signed(k), off, pa.int64()) for k, off in keys],
                     ],
-                    names=["doc_id", "hash", "set_id", "n", "sketch", "own", "after"],
+                    names=["doc_id", "hash", "set_id", "n", "sketch"],
                 )
 
     return fn
 
 
+def _grams(n: int):
+    """A row for each shingle."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arr = tc.text_array(batch.column("text"))
+            for lo, hi in tc.slices(arr):
+                yield pa.RecordBatch.from_arrays([pa.array(tc.signed(Shingles(arr[lo:hi], n).grams & GRAM))], names=["gram"])
+
+    return fn
+
+
+def _frequent(base: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, rank) of those that are frequent in a sample, so SAMPLE / FREQUENT for each shingle of a document."""
+    sample = sample_rows(base.where("text is not null"), ["text"], SAMPLE)
+    found = sample.mapInArrow(_grams(n), "gram long").groupBy("gram").count().where(F.col("count") >= FREQUENT).toPandas().sort_values("gram")
+    return found["gram"].to_numpy(np.uint64), 256 + _rank(found["count"].to_numpy())
+
+
+def _rank(count: np.ndarray) -> np.ndarray:
+    """The count in steps of a 16th power of 2, up to 255."""
+    return np.minimum(255, np.log2(np.maximum(count, 1)) * 16).astype(np.uint16)
+
+
+def _cut(at: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(value of ``at``, its part of each column), in the order of the rows."""
+    order = np.argsort(at, kind="stable")
+    at, columns = at[order], [c[order] for c in columns]
+    cuts = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(at[a]), *[c[a:b] for c in columns]
+
+
+def _send(n: int, slices: int, frequent: np.ndarray):
+    """The shingles of each set, by slice of the hash range. Frequent ones go to slices of their own, which don't count."""
+
+    def flush(sets: list[np.ndarray], grams: list[np.ndarray], turn: int) -> pa.RecordBatch:
+        owner, gram = np.concatenate(sets), np.concatenate(grams)
+        to = ((gram >> np.uint64(48)) % np.uint64(slices)).astype(np.int32)
+        gram &= GRAM
+        if len(frequent):
+            to[frequent[np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)] == gram] = slices + turn % slices
+        rows = [(at, o.tobytes(), _packed(g)) for at, o, g in _cut(to, owner, gram)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "sets", "grams"])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, grams, size, turn = [], [], 0, 0
+        for batch in batches:
+            arr = tc.text_array(batch.column("text"))
+            for lo, hi in tc.slices(arr):
+                s = Shingles(arr[lo:hi], n)
+                if not len(s.grams):
+                    continue
+                ids = s.set_ids()
+                turn = turn or int(ids[s.row[0]] >> np.uint64(33))  # where this task begins
+                once = np.zeros(len(ids), bool)
+                once[np.unique(ids, return_index=True)[1]] = True
+                keep = once[s.row]
+                sets.append(ids[s.row[keep]])
+                grams.append(s.grams[keep])
+                size += int(pc.sum(pc.binary_length(arr[lo:hi])).as_py() or 0)
+                if size >= SENT_BYTES:
+                    yield flush(sets, grams, turn)
+                    sets, grams, size, turn = [], [], 0, turn + 1
+        if sets:
+            yield flush(sets, grams, turn)
+
+    return fn
+
+
+def _count(slices: int, frequent: np.ndarray, rank: np.ndarray):
+    """Those shingles of a slice that more than one set has, by bucket of the set."""
+
+    def fn(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        owner = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sent.column("sets")])
+        gram = np.concatenate([_unpacked(x.as_buffer()) for x in sent.column("grams")])
+        if key[0].as_py() >= slices:
+            of = rank[np.searchsorted(frequent, gram)]
+        else:
+            order = np.argsort(gram)
+            gram, owner = gram[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            count = np.diff(np.append(first, len(gram)))
+            shared = np.repeat(np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first), count)
+            of = np.repeat(_rank(count), count)[shared]
+            gram, owner = gram[shared], owner[shared]
+        order = np.argsort(owner)  # equal ids in a row take little space
+        gram, owner, of = gram[order], owner[order], of[order]
+        rows = [(at, o.tobytes(), _packed(g), r.tobytes()) for at, o, g, r in _cut((tc.signed(owner) % slices).astype(np.int32), owner, gram, of)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "sets", "grams", "rank"])
+
+    return fn
+
+
+def _enter(t: float):
+    """The keys of the sets of a bucket that have any."""
+
+    def fn(sets: pa.Table, back: pa.Table) -> pa.Table:
+        ids, size = (sets.column(c).to_numpy() for c in ("set_id", "n"))
+        order = np.argsort(ids.view(np.uint64))
+        joined = lambda name, read: np.concatenate([np.zeros(0, np.uint64), *[read(x.as_buffer()) for x in back.column(name)]])
+        owner, rank = joined("sets", lambda x: np.frombuffer(x, np.uint64)), joined("rank", lambda x: np.frombuffer(x, np.uint16).astype(np.uint64))
+        s = Shared(ids.view(np.uint64)[order], size[order], owner, joined("grams", _unpacked), rank)
+        edges = band_edges(t)
+        keys = [tc.list_array(tc.signed(k), off, pa.int64()) for k, off in (sketch_keys(s, t, edges, step) for step in (0, 1))]
+        has = pa.array(np.diff(np.asarray(keys[0].offsets)) + np.diff(np.asarray(keys[1].offsets)) > 0)
+        return pa.Table.from_arrays([pa.array(ids[order]), *keys], names=["set_id", "own", "after"]).filter(has)
+
+    return fn
+
+
+def _entries(base: DataFrame, reps: DataFrame, n: int, t: float) -> DataFrame:
+    """(set_id, own, after): the keys of each set in its own band and in the next."""
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slices = max(1, -(-total // SLICE))
+    frequent, rank = _frequent(base, n) if slices > 4 else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+    back = base.select("text").mapInArrow(_send(n, slices, frequent), SENT).groupBy("slice").applyInArrow(_count(slices, frequent, rank), BACK)
+    sets = reps.select(F.pmod("set_id", F.lit(slices)).cast("int").alias("bucket"), "set_id", "n")
+    return sets.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_enter(t), KEYS)
+
+
 class Cells:
     """Rows of whole cells: which pairs of sets each one has to compare."""
 
@@ -470,12 +582,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> Da
     band_edges(threshold)
     work = tc.Scratch(docs.sparkSession, "jaccard")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
-    every = work.keep(base.mapInArrow(_map_sets(n, threshold), SETS), "every")
-    reps = work.keep(
-        every.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "hash")).alias("m"), *[F.first(c).alias(c) for c in ("n", "sketch", "own", "after")]).selectExpr("set_id", "m.*", "n", "sketch", "own", "after"),
-        "reps",
-    )
-    entries = reps.selectExpr("set_id", "inline(concat(transform(own, k -> struct(k as key, true as owned)), transform(after, k -> struct(k as key, false as owned))))")
+    every = work.keep(base.mapInArrow(_map_sets(n), SETS), "every")
+    reps = work.keep(every.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "hash")).alias("m"), *[F.first(c).alias(c) for c in ("n", "sketch")]).selectExpr("set_id", "m.*", "n", "sketch"), "reps")
+    entries = work.keep(_entries(base, reps, n, threshold), "entries").selectExpr("set_id", "inline(concat(transform(own, k -> struct(k as key, true as owned)), transform(after, k -> struct(k as key, false as owned))))")
     members = work.keep(every.select("doc_id", "hash", "set_id"), "members")
     work.drop("every")
     # a table, so that the next join can split a key that many sets have
@@ -485,7 +594,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> Da
     columns = _cells(sets).drop("sketch").schema
     texts = base.where("text is not null").groupBy("hash").agg(F.first("text").alias("text"))
     chosen = work.keep(_by_cell(_cells(sets)).mapInArrow(_sift(threshold), columns), "chosen")
-    work.drop("keys", "sets")
+    work.drop("entries", "keys", "sets")
     found = work.keep(_by_cell(chosen.join(texts, "hash")).mapInArrow(_verify(n, threshold), FOUND), "found")
     work.drop("chosen")
     parts = components(found.select(F.col("doc_id").alias("doc_a"), F.col("low").alias("doc_b")), work)

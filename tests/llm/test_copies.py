@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import SF, same
@@ -155,6 +156,37 @@ def test_short_pairs_share_a_key():
         assert all(found[i] & found[i + 1] for i in range(0, len(found), 2))
 
 
+def test_large_sets_whose_hashes_are_far_apart(make):
+    """A sample of hashes below a limit would hold nothing of the common shingles and all of the others."""
+
+    def grow(words, count, low):
+        rng = random.Random(len(words))
+        while count:
+            w = f"w{rng.randrange(10**12)}"
+            gram = ngram_jaccard.Shingles(tc.text_array(pa.array([" ".join([*words[-2:], w])])), 3).grams
+            if len(words) < 2 or (int(tc.mix(gram + np.uint64(0x632BE59BD9B4E019))[0]) < 0.14 * 2**64) == low:
+                words, count = [*words, w], count - 1
+        return words
+
+    base = grow([], 266, False)
+    texts = [" ".join(base), " ".join(grow(base, 176, True))]  # 264 of 440 shingles
+    assert classes(make(texts), 0.6) == brute_classes(range(2), texts, 0.6) == {0: (0, 1), 1: (0, 1)}
+
+
+def test_join_with_frequent_shingles(make, monkeypatch):
+    # nearly all shingles are frequent, so sets are entered by them
+    monkeypatch.setattr(ngram_jaccard, "SLICE", 500)
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 3)
+    rng, base = random.Random(3), prose(90, 1)
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"x{i}"
+        texts.append(" ".join(w[rng.randint(0, 30) :]))
+    assert classes(make(texts), 0.6) == brute_classes(range(len(texts)), texts, 0.6)
+
+
 def test_join_of_one_repeated_text(make, spark):
     text = " ".join(prose(80, 2))
     d = spark.range(60_000).selectExpr("id as doc_id", f"if(id % 3 = 0, '{text}', concat('other words with number n', id, ' and no more m', id)) as text", "'z' as hub", "'z' as hash")
