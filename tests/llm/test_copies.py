@@ -173,6 +173,18 @@ def test_large_sets_whose_hashes_are_far_apart(make):
     assert classes(make(texts), 0.6) == brute_classes(range(2), texts, 0.6) == {0: (0, 1), 1: (0, 1)}
 
 
+@pytest.mark.parametrize("slices", [1, 40])
+def test_texts_that_share_a_notice_do_not_meet(make, monkeypatch, slices):
+    notice = " ".join(f"{w}extraordinarily{w}" for w in prose(40, 1))
+    texts = [f"{notice} {' '.join(f'{w}{i}' for w in prose(40, 100 + i))}" for i in range(300)]
+    texts += [f"{texts[0]} more", f"{texts[1]} and more", texts[2]]
+    met, cells = [], ngram_jaccard._cells
+    monkeypatch.setattr(ngram_jaccard, "_cells", lambda sets: met.append(sets.count()) or cells(sets))
+    monkeypatch.setattr(ngram_jaccard, "SLICE", 303 * 80 // slices)
+    assert classes(make(texts), 0.6) == brute_classes(range(len(texts)), texts, 0.6)
+    assert set(met) == {4}
+
+
 def test_join_with_frequent_shingles(make, monkeypatch):
     # nearly all shingles are frequent, so sets are entered by them
     monkeypatch.setattr(ngram_jaccard, "SLICE", 500)
