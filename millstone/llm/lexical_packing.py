@@ -61,6 +61,7 @@ def _unpacked(raw) -> np.ndarray:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tc.give_back()
     for batch in batches:
         arr, ids = tc.text_array(batch.column("text")), batch.column("doc_id")
         for lo, hi in tc.slices(arr):
@@ -103,8 +104,8 @@ def _partition_counts(slices: int):
     """Documents of a partition by term, a row for each slice of the terms (more above DF_BUCKETS terms)."""
 
     def fn(key: tuple[pa.Scalar, ...], bags: pa.Table) -> pa.Table:
-        terms = [_unpacked(t.as_buffer()) for t in bags.column("terms")]
-        term, n = np.unique(np.concatenate(terms), return_counts=True)
+        tc.give_back()
+        term, n = np.unique(np.concatenate([_unpacked(t.as_buffer()) for t in bags.column("terms")]), return_counts=True)
         at = (term % np.uint64(slices)).astype(np.int32)
         order = np.argsort(at, kind="stable")
         term, n, at = term[order], n[order].astype(np.uint32), at[order]
@@ -224,11 +225,12 @@ def _pack(docs: int, mean: float, context: int):
         order = np.argsort(vocab)
         vocab, df = vocab[order], df[order]
         keys = [(k, "ascending") for k in ("route", "run", "doc_id", "n_words", "terms")]
-        bags = bags.take(pc.sort_indices(bags, sort_keys=keys, null_placement="at_start"))
+        order = pc.sort_indices(bags, sort_keys=keys, null_placement="at_start")
         out = []
         for at in range(0, bags.num_rows, SHARD):
-            shard = bags.slice(at, SHARD)
+            shard = bags.take(order.slice(at, SHARD))  # a shard at a time, since a copy of the whole partition would stay until its end
             out.append(flush(list(zip(*(shard.column(c).to_pylist() for c in ("doc_id", "n_words", "terms", "counts")))), vocab, df))
+            tc.give_back()
         return pa.Table.from_batches(out)
 
     return fn

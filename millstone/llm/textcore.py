@@ -8,6 +8,7 @@ a null means for their result.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -157,6 +158,13 @@ def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker that is used again holds what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 seen as int64, for Spark's LONG."""
     return x.view(np.int64)

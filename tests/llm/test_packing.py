@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from tests_util import prose
 
 from millstone.llm import lexical_packing as lp
@@ -94,6 +95,20 @@ def test_only_hot_routes_are_dealt_out(spark, monkeypatch):
     assert set(runs) <= set(range(20)) and len(runs) > 15 and max(runs.values()) < 30
 
 
+def test_a_partition_is_not_copied_whole(monkeypatch):
+    monkeypatch.setattr(lp, "SHARD", 50)
+    n, terms = 400, 1000
+    own = [np.arange(i, i + terms, dtype=np.uint64) for i in range(n)]
+    bags = pa.table({"route": pa.array(range(n)), "doc_id": pa.array(range(n)), "n_words": pa.array([terms] * n, pa.int32()), "terms": pa.array(map(lp._packed, own), pa.binary()), "counts": pa.array([np.ones(terms, np.uint32).tobytes()] * n, pa.binary()), "run": pa.array([0] * n, pa.int64())})
+    vocab = np.arange(n + terms, dtype=np.uint64)
+    counts = pa.table({"terms": pa.array([lp._packed(vocab)]), "n": pa.array([np.full(len(vocab), 2, np.uint32).tobytes()])})
+    before, held, shard = pa.total_allocated_bytes(), [], lp.Shard
+    monkeypatch.setattr(lp, "Shard", lambda *args: held.append(pa.total_allocated_bytes() - before) or shard(*args))
+    out = lp._pack(n, float(terms), 2 * terms)(bags, counts)
+    assert sorted(d for w in out.column("doc_ids").to_pylist() for d in w) == list(range(n))
+    assert len(held) == 8 and max(held) < bags.nbytes / 3
+
+
 def test_pipeline(spark, sample, tmp_path):
     import corpus_pipeline as cp
 
