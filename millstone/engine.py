@@ -27,6 +27,8 @@ BASE_DIR_VARIABLE = "MILLSTONE_BASEDIR"
 FILTER_DIR_VARIABLE = "MILLSTONE_FILTERDIR"
 LOG_VARIABLE = "MILLSTONE_LOG_LEVEL"
 LEVELS = {"CRITICAL": 50, "ERROR": 40, "WARNING": 30, "NOTICE": 25, "INFO": 20, "DEBUG": 10}
+RANGE_ROWS = 5_000_000  # postings that a task sorts, about 450 MB
+MAX_SENT = 1 << 20  # ids that are sent to all executors
 DEFAULT_FILTERS = ["normalizer", "stopwords", "stemmer"]
 log = logging.getLogger("millstone")
 
@@ -167,17 +169,18 @@ class Index:
             analysis.analyze(docs, self.words(), self.pipeline).write.parquet(commit.path("staged"))
             staged = self.spark.read.schema(analysis.POSTINGS).parquet(commit.path("staged"))
             heads = staged.where(F.col("term") == HEADER)
-            entry = self._checked(heads, s, skip_empty)
+            entry, empty = self._checked(heads, s, skip_empty)
             if not entry["docs"] and skip_empty:
                 return commit.discard()
             heads.where("doc_len > 0").select("doc_id", "doc_len").sortWithinPartitions("doc_id").write.parquet(commit.path("docs"))
             rows = staged.where(F.col("term") != HEADER)
-            self._write_postings(rows, commit)
+            self._write_postings(rows, staged.count(), commit)
             self._write_terms(rows.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total")), commit)
             if store:
                 kept = docs.select("doc_id", F.col("text").alias("content"))
-                if skip_empty:
-                    kept = kept.join(heads.where("doc_len > 0").select("doc_id"), "doc_id", "left_semi")
+                if empty:  # few as a rule; texts move only where these are too many to be sent to all
+                    none = heads.where("doc_len = 0").select("doc_id")
+                    kept = kept.join(F.broadcast(none) if empty <= MAX_SENT else none, "doc_id", "left_anti")
                 kept.write.parquet(commit.path("content"))
             commit.publish(kind="add", content=store, **entry)
         except Exception:
@@ -186,12 +189,12 @@ class Index:
         commit.discard("staged")
         log.info("index %s: commit %d adds %d documents", self.name, commit.id, entry["docs"])
 
-    def _checked(self, heads: DataFrame, s, skip_empty: bool) -> dict:
-        """Counts of a commit, after the checks that need them."""
+    def _checked(self, heads: DataFrame, s, skip_empty: bool) -> tuple[dict, int]:
+        """Counts of a commit, after the checks that need them; the number of texts without a token."""
         per = heads.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("doc_len").alias("doc_len"), F.max("tf").alias("over"))
         found = per.agg(
             F.expr("count_if(doc_len > 0) as docs"), F.sum("doc_len").alias("words"), F.min(F.when(F.col("n") > 1, F.col("doc_id"))).alias("twice"),
-            F.min(F.when(F.col("doc_len") == 0, F.col("doc_id"))).alias("empty"), F.max("over").alias("over"), F.expr("count_if(doc_id is null or doc_id < 1) as bad"),
+            F.expr("count_if(doc_len = 0) as empty"), F.max("over").alias("over"), F.expr("count_if(doc_id is null or doc_id < 1) as bad"),
         ).first()
         if found["bad"]:
             raise InvalidError("document ID must be a positive number")
@@ -203,13 +206,18 @@ class Index:
             known = clash[0]
         if known is not None:
             raise ExistsError(f"document {known} is already indexed")
-        if found["empty"] is not None and not skip_empty:
+        if found["empty"] and not skip_empty:
             raise MissingError("the text is empty or no meaningful tokens found")
-        return {"docs": found["docs"], "words": found["words"] or 0}
+        return {"docs": found["docs"], "words": found["words"] or 0}, found["empty"]
 
-    def _write_postings(self, rows: DataFrame, commit: Commit) -> None:
-        """In ranges of (term, doc_id), so that a term of most documents spreads over many tasks."""
-        rows.select("term", "doc_id", "tf", "doc_len").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(commit.path("postings"))
+    def _write_postings(self, rows: DataFrame, n: int, commit: Commit) -> None:
+        """In ranges of (term, doc_id), so that a term of most documents spreads over many tasks.
+
+        As many ranges as the session has shuffle partitions, or more where those would be too large to sort in memory.
+        """
+        least = -(-n // RANGE_ROWS)
+        ranges = [least] if least > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
+        rows.select("term", "doc_id", "tf", "doc_len").repartitionByRange(*ranges, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(commit.path("postings"))
 
     def _write_terms(self, terms: DataFrame, commit: Commit) -> None:
         terms.select("term", "doc_freq", "total").sortWithinPartitions("term").write.parquet(commit.path("terms"))
@@ -248,7 +256,8 @@ class Index:
         commit = self.store.begin(s)
         try:
             self.store.docs(s).sortWithinPartitions("doc_id").write.parquet(commit.path("docs"))
-            self._write_postings(self.store.postings(s), commit)
+            live = self.store.terms(s).agg(F.sum("doc_freq")).first()[0]
+            self._write_postings(self.store.postings(s), live or 0, commit)
             self._write_terms(self.store.terms(s), commit)
             content = any(c.get("content") for c in s.commits)
             if content:

@@ -382,3 +382,37 @@ def test_plan_prunes_terms(engine):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term" in plan and "TakeOrderedAndProject" in plan
     assert F is not None
+
+
+def test_postings_are_written_in_ranges_that_fit_a_task(spark, engine, monkeypatch):
+    monkeypatch.setattr("millstone.engine.RANGE_ROWS", 10)
+    index = engine.create_index("ranges", {"tokenizer": "simple", "filters": []})
+    index.add_documents(spark.createDataFrame([(i, f"w{i % 7} v{i}") for i in range(1, 101)], "doc_id long, text string"))
+    files = lambda: len(index.postings().inputFiles())
+    assert files() > 12 and index.postings().count() == 200
+    index.remove(5)
+    index.compact()
+    assert files() > 12 and index.postings().count() == 198
+
+
+def test_content_is_stored_without_a_join_where_no_text_is_empty(spark, engine, monkeypatch):
+    index = engine.create_index("joins")
+    texts = spark.createDataFrame([(1, "foo bar"), (2, "bar")], "doc_id long, text string")
+
+    def join(*args):
+        raise AssertionError("texts are joined")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(texts), "join", join)
+        index.add_documents(texts, store=True, skip_empty=True)
+    assert {r["doc_id"]: r["content"] for r in index.search("bar", fetch=True).collect()} == {1: "foo bar", 2: "bar"}
+
+
+@pytest.mark.parametrize("sent", [0, 10])
+def test_content_of_texts_without_a_token_is_left_out(spark, engine, monkeypatch, sent):
+    monkeypatch.setattr("millstone.engine.MAX_SENT", sent)
+    index = engine.create_index("empty")
+    index.add_documents(spark.createDataFrame([(1, "foo"), (2, "the"), (3, ""), (4, None)], "doc_id long, text string"), store=True, skip_empty=True)
+    s = index.store.snapshot()
+    assert [tuple(r) for r in index.store.content(s).select("doc_id", "content").collect()] == [(1, "foo")]
+    assert index.doc_count == 1
